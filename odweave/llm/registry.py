@@ -11,11 +11,12 @@ from odweave.llm.mixing import OP10_SQL, op10_mix_sources
 from odweave.llm.outliers import op6_quality_rules
 from odweave.llm.packing import op9_best_fit_packing
 from odweave.llm.quality import op7_quality_classifier
+from odweave.llm.secrets import op5_secret_scan
 from odweave.llm.spotsigs import op2_spot_signatures
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_spot_signatures, op6_quality_rules, op7_quality_classifier, op8_line_dedup, op9_best_fit_packing, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_spot_signatures, op5_secret_scan, op6_quality_rules, op7_quality_classifier, op8_line_dedup, op9_best_fit_packing, op10_mix_sources)}
 
 
 def llm_oracles() -> dict[str, str]:
