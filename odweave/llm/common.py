@@ -184,9 +184,9 @@ def steps(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, np.ndarray,
 
 def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:
     """Which of `total` places lie in [start, start + length) for some start."""
-    edge = np.bincount(starts, minlength=total + 1).astype(np.int64)
-    edge[length:] -= np.bincount(starts, minlength=total + 1)[: len(edge) - length] if len(edge) > length else 0
-    return np.cumsum(edge[:total]) > 0
+    upto = np.cumsum(np.bincount(starts, minlength=total)[:total])
+    upto[length:] -= upto[:-length].copy() if total > length else 0
+    return upto > 0
 
 
 # --- exchange -------------------------------------------------------------------------------------------------

@@ -14,10 +14,11 @@ from odweave.llm.quality import op7_quality_classifier
 from odweave.llm.secrets import op5_secret_scan
 from odweave.llm.spotsigs import op2_spot_signatures
 from odweave.llm.substring_dedup import op3_substring_dedup
+from odweave.llm.suffix_array import op1_suffix_array_dedup
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_spot_signatures, op3_substring_dedup, op5_secret_scan, op6_quality_rules, op7_quality_classifier, op8_line_dedup, op9_best_fit_packing, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_spot_signatures, op3_substring_dedup, op5_secret_scan, op6_quality_rules, op7_quality_classifier, op8_line_dedup, op9_best_fit_packing, op10_mix_sources)}
 
 
 def llm_oracles() -> dict[str, str]:
