@@ -1,4 +1,60 @@
-"""placeholder, filled below"""
-STAGES = []
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
+next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from odweave.llm.common import materialize
+from odweave.llm.jaccard_join import jaccard_components
+from odweave.llm.line_dedup import dedup_lines
+from odweave.llm.mixing import emit_copies, mix_sources
+from odweave.llm.packing import default_tokenizer, pack_documents
+from odweave.llm.quality import classify
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject. Repeated rows stay repeated."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return classify(docs, labels, columns=COLUMNS).where("predicted = 1").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier one has; a text may become empty."""
+    out = dedup_lines(docs.select(*COLUMNS))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each component, once even if its row is repeated."""
+    kept = jaccard_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    return emit_copies(mix_sources(docs.select(*COLUMNS)), COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece, with its sequence and place there."""
+    return pack_documents(docs, default_tokenizer())
+
+
+STAGES = [("quality classifier", quality_classifier), ("line dedup", line_dedup), ("n-gram Jaccard join", ngram_jaccard), ("mixing sources to target weights", source_mix), ("best-fit packing", best_fit_packing)]
+
+#: A trained classifier, set joins and a tokenizer are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs

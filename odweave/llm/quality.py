@@ -117,7 +117,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, epochs: int = 6, ra
     return (vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def scorer(table: np.ndarray, bias: float):  # noqa: ANN201
+def scorer(table: np.ndarray, bias: float, with_text: bool = False):  # noqa: ANN201
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             logits = [np.empty(0)]
@@ -130,7 +130,7 @@ def scorer(table: np.ndarray, bias: float):  # noqa: ANN201
                     number += np.diff(edges)
                 logits.append(total / np.maximum(number, 1) + bias)
             p = 1 / (1 + np.exp(-np.concatenate(logits)))
-            keep = [c for c in batch.schema.names if c != "text"]
+            keep = [c for c in batch.schema.names if c != "text" or with_text]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(np.round(p, 6))], names=[*keep, "score"])
 
     return score
@@ -151,10 +151,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: st
     """The given columns (the id alone by default; the text may be among them) plus score and predicted."""
     table, bias = fit(docs, labels, id=id, text=text, **kw)
     kept = [id] if columns is None else list(columns)
-    fed = docs.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in kept], F.col(text).alias("text"))
-    schema = ", ".join(f"`__{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", score double"
-    out = fed.mapInArrow(scorer(table, bias), schema)
-    return out.select(*[F.col(f"`__{c}`").alias(c) for c in kept], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    others = [c for c in kept if c != text]
+    fed = docs.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in others], F.col(text).alias("text"))
+    schema = ", ".join(f"`__{c}` {docs.schema[c].dataType.simpleString()}" for c in others) + (", text string" if text in kept else "") + ", score double"
+    out = fed.mapInArrow(scorer(table, bias, text in kept), schema)
+    return out.select(*[F.col("text" if c == text else f"`__{c}`").alias(c) for c in kept], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

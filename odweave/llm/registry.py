@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from odweave.llm.jaccard_join import op4_ngram_jaccard
 from odweave.llm.line_dedup import OP8_SQL, op8_line_dedup
 from odweave.llm.mixing import OP10_SQL, op10_mix_sources
 from odweave.llm.outliers import op6_quality_rules
@@ -18,7 +19,7 @@ from odweave.llm.suffix_array import op1_suffix_array_dedup
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_spot_signatures, op3_substring_dedup, op5_secret_scan, op6_quality_rules, op7_quality_classifier, op8_line_dedup, op9_best_fit_packing, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_spot_signatures, op3_substring_dedup, op4_ngram_jaccard, op5_secret_scan, op6_quality_rules, op7_quality_classifier, op8_line_dedup, op9_best_fit_packing, op10_mix_sources)}
 
 
 def llm_oracles() -> dict[str, str]:
