@@ -88,8 +88,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, epochs: int = 6, ra
     if not rows or ones in (0, len(rows)):
         share = 0.5 if not rows else min(0.99, max(0.01, ones / len(rows)))
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
-    # both classes weigh alike, so that 0.5 lies between them however rare one is
-    balance = (len(rows) / (2 * (len(rows) - ones)), len(rows) / (2 * ones))
+    # a rare class weighs more, by the root of its rarity: half way to equal classes, as clean text must not go
+    balance = ((len(rows) / (2 * (len(rows) - ones))) ** 0.5, (len(rows) / (2 * ones)) ** 0.5)
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
     grown = np.full(BUCKETS, 1e-8, np.float32)
