@@ -68,7 +68,7 @@ def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame,
 
     rows, cols = product(c, "d", "o"), product(r, "o", "d")
     initial, err, i = error(rows, cols), 1.0, 0
-    if initial == 0:
+    if initial <= 1e-12 * (sum(a.values()) + sum(b.values())):  # only rounding is left
         cells.unpersist()
         return Balanced(matrix.select("o", "d", F.col(value).cast("double").alias(value)), 0.0, 0)
     while err > rel_error:
