@@ -9,7 +9,7 @@ Contract: a line's key is the line without `[\\x20\\x09-\\x0D]` at both ends, A-
 `min_chars` code points keeps its lines only in the first document that holds it, batches being in the order of
 ids and the least id winning in a batch. A null id counts as the largest. Null and empty texts are one empty
 line. Repeated rows (same id and text) are treated alike; rows of one id with different texts are one document.
-Further columns pass through; an empty table gives an empty result.
+Further columns pass through, but for those that the result names itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,6 +90,7 @@ class LineRuns:
 def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_chars: int = 10, batches: int = 4, fan_in: int = 3) -> DataFrame:
     """All columns of docs plus kept_text, n_lines and n_dropped."""
     spark = docs.sparkSession
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
     doc, version = F.coalesce(F.col(id).cast("long"), F.lit(LAST)), F.xxhash64(text)
     bounds = docs.agg(F.percentile_approx(doc, [i / batches for i in range(1, batches)], 1000).alias("b")).first()["b"] if batches > 1 else []
     batch = reduce(lambda a, b: a + b, [(doc > F.lit(int(x))).cast("int") for x in sorted(set(bounds or []))], F.lit(0))

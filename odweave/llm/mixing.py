@@ -6,7 +6,8 @@ uniform number from the hash of its id and the seed lies below the rate's fracti
 state, so reruns and retried tasks agree.
 
 Contract: a null source is one source, sorted last; null texts have size 0; a source of size 0 has rate 0.
-Repeated rows draw alike. The result has the input's columns plus size, source_size, target, rate and copies.
+Repeated rows draw alike. The result has the input's columns plus size, source_size, target, rate and copies; columns
+of the input with these names are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[float] = (5, 2, 1), sh
 
 
 def mix_sources(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", **shares: object) -> DataFrame:
-    sized = docs.withColumn("size", word_count(F.col(text)))
+    sized = docs.drop(*{"size", "source_size", "target", "rate", "copies"} - {id, text, source}).withColumn("size", word_count(F.col(text)))
     by_source = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
     targets = source_targets(by_source, **shares).select(F.col("source").alias("__source"), "source_size", "target")
     joined = sized.join(targets, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")

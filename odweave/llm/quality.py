@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
 def classify(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, columns: tuple[str, ...] | None = None, **kw: object) -> DataFrame:
     """The given columns (the id alone by default; the text may be among them) plus score and predicted."""
     table, bias = fit(docs, labels, id=id, text=text, **kw)
-    kept = [id] if columns is None else list(columns)
+    kept = [id] if columns is None else [c for c in columns if c not in ("score", "predicted")]
     others = [c for c in kept if c != text]
     fed = docs.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in others], F.col(text).alias("text"))
     schema = ", ".join(f"`__{c}` {docs.schema[c].dataType.simpleString()}" for c in others) + (", text string" if text in kept else "") + ", score double"
