@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from odweave.llm.common import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,7 +53,8 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[float] = (5, 2, 1), sh
 def mix_sources(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", **shares: object) -> DataFrame:
     sized = docs.drop(*{"size", "source_size", "target", "rate", "copies"} - {id, text, source}).withColumn("size", word_count(F.col(text)))
     by_source = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(by_source, **shares).select(F.col("source").alias("__source"), "source_size", "target")
+    # written first, so that its size is known: a small table is sent to the documents, else a hot source is split
+    targets = materialize(source_targets(by_source, **shares)).select(F.col("source").alias("__source"), "source_size", "target")
     joined = sized.join(targets, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     once_more = (uniform(F.col(id), seed) < F.col("rate") - F.floor("rate")).cast("long")
