@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odweave.llm.common import shared_dir
+from odweave.llm.common import materialize, shared_dir
 
 BLANKS = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,6 +103,7 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_
     for i in range(len(set(bounds or [])) + 1):
         own = lines.where(F.col("batch") == i)
         drops = runs.add(own.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")))
+        drops = materialize(drops)  # a plain table to join with, so that a line of very many documents can be split
         gone = own.join(drops, ["h1", "h2"]).where("owner is null or doc > owner")
         gone.select("doc", "version", "pos").write.mode("append").parquet(f"{base}/gone")
         runs.compact()
