@@ -149,11 +149,12 @@ def outlier_distances(vectors_: DataFrame, *, core: float = CORE, n_steps: int =
     data = materialize(vectors_.join(sized, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))).drop("__lang", "__source"))
     schema = "grp string, mean array<double>, precision array<double>"
     # the first estimate: the moments of documents near the medians of their group
-    mid = data.groupBy("grp").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(NAMES)])
+    # tables of one row a group are written, so that their size is known and a hot group can be split otherwise
+    mid = materialize(data.groupBy("grp").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(NAMES)]))
     start = data.join(mid, "grp").withColumn("d2", sum(((F.col(c) - F.col(f"m{i}")) / F.lit(float(FLOOR[i]))) ** 2 for i, c in enumerate(NAMES)))
     for k in range(n_steps):
         near = start if k == 0 else data.join(estimate, "grp").withColumn("d2", _distance())  # noqa: F821
-        limit = near.groupBy("grp").agg(F.percentile_approx("d2", core, 1000).alias("limit"))
+        limit = materialize(near.groupBy("grp").agg(F.percentile_approx("d2", core, 1000).alias("limit")))
         moments = near.join(limit, "grp").where(F.col("d2") <= F.col("limit")).groupBy("grp").agg(*_moments())
         estimate = materialize(moments.mapInPandas(_estimates, schema))
     return data.join(estimate, "grp").withColumn("d2", _distance()).drop("mean", "precision")
