@@ -339,7 +339,8 @@ def jaccard_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text
     bits = bucket_bits(groups)
     known = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(known.mapInArrow(_describe(n), "doc_id long, n_shingles long, s1 long, s2 long"))
-    classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"))
+    # a plain table to join with, so that a class of very many documents can be split
+    classes = materialize(rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("cid")))
     base = grouped(known, groups)
     packed = F.concat(*[_little(c) for c in ("cid", "s1")])
     named = classes.select(F.lit(-1).alias("bucket"), F.expr(f"pmod(xxhash64(cid), {groups})").cast("int").alias("g"), packed.alias("payload"))
