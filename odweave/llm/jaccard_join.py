@@ -21,7 +21,8 @@ Extra columns don't pass; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ TOP, BOTTOM = 4, 5
 BLOCK = 4000
 LAST = 2**63 - 1
 _HASHER = Hasher(61)
+#: (index, sorted distinct 64-bit hashes) of each text of a column
+Sets = Callable[[pa.ChunkedArray | pa.Array], Iterator[tuple[int, np.ndarray]]]
+#: pairs of labels to unite, of (labels, sizes, blobs, probes); see link_sets
+Link = Callable[..., list[tuple[int, int]]]
 
 
 def shingle_sets(texts: pa.ChunkedArray | pa.Array, n: int = N) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,10 +68,10 @@ def set_hashes(s: np.ndarray) -> tuple[int, int]:
     return (a & (2**64 - 1)) - 2**63, (b & (2**64 - 1)) - 2**63
 
 
-def _describe(n: int):  # noqa: ANN202
+def _describe(sets: Sets):  # noqa: ANN202
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), *set_hashes(s)) for _, s in shingle_sets(batch["text"], n)]
+            rows = [(len(s), *set_hashes(s)) for _, s in sets(batch["text"])]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(list(c), pa.int64()) for c in cols]], names=["doc_id", "n_shingles", "s1", "s2"])
 
@@ -76,23 +81,23 @@ def _describe(n: int):  # noqa: ANN202
 class Members:
     """Of a group's texts, those that stand for a class: (class id, set)."""
 
-    def __init__(self, table: pa.Table, answers: pa.Table, n: int):
+    def __init__(self, table: pa.Table, answers: pa.Table, sets: Sets):
         bucket = np.array(answers["bucket"].to_pylist(), np.int64)
         named = answers.filter(pa.array(bucket < 0))["payload"].to_pylist()
         wanted = {(int.from_bytes(p[:8], "little", signed=True), int.from_bytes(p[8:16], "little", signed=True)) for p in named}
         self.answers = answers.filter(pa.array(bucket >= 0))
         ids, seen = table["doc_id"].to_pylist(), set()
         self.sets: list[tuple[int, np.ndarray]] = []
-        for i, s in shingle_sets(table["text"], n):
+        for i, s in sets(table["text"]):
             key = (ids[i], set_hashes(s)[0])
             if len(s) and key in wanted and key not in seen:
                 seen.add(key)
                 self.sets.append((ids[i], s))
 
 
-def _send_shingles(bits: int, n: int):  # noqa: ANN202
+def _send_shingles(bits: int, sets: Sets):  # noqa: ANN202
     def send(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        m = Members(table, answers, n)
+        m = Members(table, answers, sets)
         if not m.sets:
             return payloads([])
         return send_keys(key[0].as_py(), *tally(np.concatenate([s for _, s in m.sets])), bits)
@@ -103,11 +108,11 @@ def _send_shingles(bits: int, n: int):  # noqa: ANN202
 CANDIDATE = "kind int, a long, b long, blob binary"
 
 
-def _candidates(bits: int, n: int):  # noqa: ANN202
+def _candidates(bits: int, sets: Sets):  # noqa: ANN202
     """Kind 0: (class, size, shingles that others hold). 1: (rare shingle, its least class here). 2: (class, such a least class)."""
 
     def candidates(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        m = Members(table, answers, n)
+        m = Members(table, answers, sets)
         keys, counts = received(m.answers, bits)
         kinds, a, b, blobs = [], [], [], []
         rare, owner = [], []
@@ -286,20 +291,27 @@ def link_sets(labels: list[int], sizes: list[int], blobs: list[bytes], probes: i
     return found
 
 
-def _link_block(table: pa.Table) -> pa.Table:
-    found = link_sets(table["label"].to_pylist(), table["size"].to_pylist(), table["blob"].to_pylist())
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
     a, b = zip(*found, strict=True) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _link_across(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("probe", "descending")])
-    n = sum(table["probe"].to_pylist())
-    if n in (0, table.num_rows):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    found = link_sets(table["label"].to_pylist(), table["size"].to_pylist(), table["blob"].to_pylist(), n)
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _link_block(link: Link):  # noqa: ANN202
+    def within(table: pa.Table) -> pa.Table:
+        return _pairs(link(table["label"].to_pylist(), table["size"].to_pylist(), table["blob"].to_pylist()))
+
+    return within
+
+
+def _link_across(link: Link):  # noqa: ANN202
+    def across(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("probe", "descending")])
+        n = sum(table["probe"].to_pylist())
+        if n in (0, table.num_rows):
+            return _pairs([])
+        return _pairs(link(table["label"].to_pylist(), table["size"].to_pylist(), table["blob"].to_pylist(), n))
+
+    return across
 
 
 EDGE = "a long, b long"
@@ -310,16 +322,16 @@ def _relabel(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sets.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
 
 
-def link_large_blocks(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+def link_large_blocks(sets: DataFrame, block: int = BLOCK, link: Link = link_sets) -> DataFrame:
     """Links (a, b) in blocks of more than `block` sets; sets: (block, n, label, size, blob), labels distinct."""
     chunked = sets.withColumn("chunk", F.expr(f"pmod(xxhash64(label), cast(ceil(n / {block}) as int))").cast("int"))
-    within = materialize(chunked.groupBy("block", "chunk").applyInArrow(_link_block, EDGE))
+    within = materialize(chunked.groupBy("block", "chunk").applyInArrow(_link_block(link), EDGE))
     one = materialize(_relabel(chunked.withColumn("cid", F.col("label")), within))
     # one set for each component of each chunk; those of a block are again dealt to tasks of bounded size
     heads = one.join(one.groupBy("block", "chunk", "label").agg(F.min("cid").alias("cid")), ["block", "chunk", "label", "cid"], "left_semi")
     counted = heads.join(heads.groupBy("block").agg(F.count("*").alias("m")), "block")
     dealt = counted.withColumn("part", F.expr(f"pmod(xxhash64(cid, 3), cast(ceil(m / {block}) as int))").cast("int"))
-    among = materialize(dealt.groupBy("block", "part").applyInArrow(_link_block, EDGE))
+    among = materialize(dealt.groupBy("block", "part").applyInArrow(_link_block(link), EDGE))
     two = materialize(_relabel(one, among))
     by_label = two.groupBy("block", "label").count()
     largest = by_label.groupBy("block").agg(F.max_by("label", F.struct("count", "label")).alias("bulk"))
@@ -329,32 +341,37 @@ def link_large_blocks(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     members = sized.withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)"))).withColumn("probe", F.lit(0))
     probes = sized.where("outside").withColumn("slice", F.expr("pmod(xxhash64(cid, 5), slices)").cast("int")).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("probe", F.lit(1))
     cols = ["block", "chunk", "slice", "probe", "label", "size", "blob"]
-    across = members.select(*cols).unionByName(probes.select(*cols)).groupBy("block", "chunk", "slice").applyInArrow(_link_across, EDGE)
+    across = members.select(*cols).unionByName(probes.select(*cols)).groupBy("block", "chunk", "slice").applyInArrow(_link_across(link), EDGE)
     return within.union(among).union(materialize(across))
 
 
 def jaccard_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = N, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
+    return set_components(docs, partial(shingle_sets, n=n), link_sets, id=id, text=text, block=block)
+
+
+def set_components(docs: DataFrame, sets: Sets, link: Link, *, id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The same for any sets of hashes, with any way to link those of a block."""
     groups = group_count(total_bytes(docs, text))
     bits = bucket_bits(groups)
     known = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
-    rows = materialize(known.mapInArrow(_describe(n), "doc_id long, n_shingles long, s1 long, s2 long"))
+    rows = materialize(known.mapInArrow(_describe(sets), "doc_id long, n_shingles long, s1 long, s2 long"))
     # a plain table to join with, so that a class of very many documents can be split
     classes = materialize(rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("cid")))
     base = grouped(known, groups)
     packed = F.concat(*[_little(c) for c in ("cid", "s1")])
     named = classes.select(F.lit(-1).alias("bucket"), F.expr(f"pmod(xxhash64(cid), {groups})").cast("int").alias("g"), packed.alias("payload"))
-    answers = exchange(base.groupBy("g").cogroup(named.groupBy("g")).applyInArrow(_send_shingles(bits, n), PAYLOAD_DDL))
-    found = materialize(base.groupBy("g").cogroup(named.unionByName(answers).groupBy("g")).applyInArrow(_candidates(bits, n), CANDIDATE))
+    answers = exchange(base.groupBy("g").cogroup(named.groupBy("g")).applyInArrow(_send_shingles(bits, sets), PAYLOAD_DDL))
+    found = materialize(base.groupBy("g").cogroup(named.unionByName(answers).groupBy("g")).applyInArrow(_candidates(bits, sets), CANDIDATE))
     rare = found.where("kind = 1").select("b", F.min("b").over(Window.partitionBy("a")).alias("m")).where("b <> m")
     stars = rare.select(F.col("b").alias("a"), F.col("m").alias("b")).union(found.where("kind = 2").select("a", "b")).distinct()
     blocks = connected_components(stars).select(F.col("id").alias("a"), F.col("root").alias("block"))
     counted = blocks.groupBy("block").agg(F.count("*").alias("n"))
     placed = found.where("kind = 0").join(blocks, "a").join(counted, "block").select("block", "n", F.col("a").alias("label"), F.col("b").alias("size"), "blob")
-    small = placed.where(F.col("n") <= block).groupBy("block").applyInArrow(_link_block, EDGE)
+    small = placed.where(F.col("n") <= block).groupBy("block").applyInArrow(_link_block(link), EDGE)
     links = small
     if counted.where(F.col("n") > block).limit(1).count():
-        links = small.union(link_large_blocks(materialize(placed.where(F.col("n") > block)), block))
+        links = small.union(link_large_blocks(materialize(placed.where(F.col("n") > block)), block, link))
     # rows of one id are one document, whatever their sets
     same = rows.where("n_shingles > 0").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
     twice = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")

@@ -5,11 +5,15 @@ signatures, as sorted 32-bit hashes in hexadecimal, is its fingerprint; likeness
 two sets. Texts without a common word use every word as an antecedent, so only a text without words has an
 empty fingerprint; two empty ones are alike (1.0), an empty and another are not (0.0).
 
-Near-duplicate search partitions sets by length: sets whose sizes differ by more than the threshold allows never
-meet, and within reach a comparison ends once the bound on what may still be common is too low.
+`near_duplicates` joins documents whose sets (of 64-bit hashes there) have a likeness of 0.8 or more. Sets that share
+none of their rarest signatures can't reach it, which leaves blocks (see jaccard_join). In a block, sets are partitioned
+by length: those of partitions two or more apart never meet, nor those that hang together already, and within reach a
+comparison ends once the bound on what may still be common is too low.
 
 Contract: null texts are empty. Documents follow each other in descending id, null ids last, repeated ids by
-text; the first follows the last. An empty table gives an empty result.
+text; the first follows the last. In the join a text without words links with nothing, rows of one id count as
+linked and a null id as largest; a repeated row is repeated in the result. Extra columns don't pass. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odweave.llm.common import LOWER, U64, Hasher, group_count, mix, total_bytes
+from odweave.llm.common import LOWER, U64, Hasher, group_count, mix, steps, total_bytes
+from odweave.llm.jaccard_join import BLOCK, BOTTOM, TOP, Union, ranked, set_components
 
 #: Common words of English, French, German and Spanish.
 COMMON = """a an and are as at be been but by for from had has have he her his if in into is it its not of on or she so that the their them then there they this to was we were which who will with you
@@ -54,9 +59,27 @@ _COMMON = _common()
 def signatures(texts: list[bytes], *, chain: int = CHAIN, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct (text index << 32 | signature), edges) of some texts."""
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    owner, sig = spots(np.frombuffer(b"".join(texts), np.uint8), offsets, chain, distance)
+    key = np.unique(owner.astype(U64) << U64(32) | sig >> U64(32))
+    return key, np.searchsorted(key, np.arange(len(texts) + 1, dtype=U64) << U64(32))
+
+
+def signature_sets(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, sorted distinct 64-bit signatures) of each text."""
+    for i, data, offsets in steps(texts):
+        owner, sig = spots(data, offsets)
+        order = np.argsort(owner, kind="stable")
+        owner, sig = owner[order], sig[order]
+        edges = np.searchsorted(owner, np.arange(len(offsets)))
+        for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            yield i + k, np.unique(sig[a:b])
+
+
+def spots(data: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, 64-bit signature) of every antecedent with its chain."""
+    n_texts = len(offsets) - 1
     if not len(data):
-        return np.empty(0, U64), np.zeros(len(texts) + 1, np.int64)
+        return np.empty(0, np.int64), np.empty(0, U64)
     gap = NOT_WORD[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0], edge[1:] = True, gap
@@ -88,40 +111,45 @@ def signatures(texts: list[bytes], *, chain: int = CHAIN, distance: int = DISTAN
     sig = mix(h[spots] + chains[follow] * U64(0xD1342543DE82EF95))
     owner = doc[spots]
     # texts without a signature: each word with its successor
-    bare = np.ones(len(texts), bool)
+    bare = np.ones(n_texts, bool)
     bare[owner] = False
     lone = np.flatnonzero(bare[doc])
     if len(lone):
         after = np.minimum(lone + 1, len(h) - 1)
         same = (doc[after] == doc[lone]) & (after > lone)
         pair = mix(h[lone] * U64(3) + np.where(same, h[after], U64(0)))
-        single = np.bincount(doc[lone], minlength=len(texts))[doc[lone]] == 1
+        single = np.bincount(doc[lone], minlength=n_texts)[doc[lone]] == 1
         use = same | single
         sig, owner = np.concatenate((sig, pair[use])), np.concatenate((owner, doc[lone][use]))
-    key = np.unique(owner.astype(U64) << U64(32) | sig >> U64(32))
-    return key, np.searchsorted(key, np.arange(len(texts) + 1, dtype=U64) << U64(32))
+    return owner, sig
 
 
 def fingerprint(part: np.ndarray) -> str:
     return (part & U64(0xFFFFFFFF)).astype(">u4").tobytes().hex()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard of two sorted distinct arrays; -1 as soon as sizes or what remains rule `least` out."""
-    if not len(a) and not len(b):
-        return 1.0
+def common_count(a: np.ndarray, b: np.ndarray, need: float = 0) -> int:
+    """How many elements two sorted distinct arrays share; -1 as soon as what remains can't give `need`."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if len(small) < least * len(large):
-        return -1.0
-    need, common = least / (1 + least) * (len(a) + len(b)), 0
+    common = 0
     for k in range(0, len(small), 1024):
+        if common + len(small) - k < need:
+            return -1
         part = small[k : k + 1024]
         at = np.searchsorted(large, part)
         at[at == len(large)] = 0
         common += int((large[at] == part).sum()) if len(large) else 0
-        if common + len(small) - k - len(part) < need - 1e-9:
-            return -1.0
-    return common / (len(a) + len(b) - common)
+    return common if common >= need else -1
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Jaccard of two sorted distinct arrays; -1 as soon as sizes or what remains rule `least` out."""
+    if not len(a) and not len(b):
+        return 1.0
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return -1.0
+    common = common_count(a, b, least / (1 + least) * (len(a) + len(b)) - 1e-9)
+    return common / (len(a) + len(b) - common) if common >= 0 else -1.0
 
 
 def length_partition(n: int, threshold: float, edges: list[int] | None = None) -> int:
@@ -138,6 +166,54 @@ def length_edges(threshold: float, longest: int = 1 << 40) -> list[int]:
     return edges
 
 
+# --- the join ---------------------------------------------------------------------------------------------------
+
+
+def link_by_length(labels: list[int], sizes: list[int], blobs: list[bytes], probes: int = 0) -> list[tuple[int, int]]:
+    """Pairs of labels to unite, as jaccard_join.link_sets gives them, over partitions by length.
+
+    Each set looks up its rarest signatures in an index of those of the others, and is compared with the sets found
+    that lie in its own or a neighbouring partition and don't hang together with it yet.
+    """
+    paths, n_ranks = ranked(blobs)
+    n, size = len(labels), np.array(sizes, np.int64)
+    union, first = Union(n), {}
+    for i, x in enumerate(labels):
+        union.join(i, first.setdefault(x, i))
+    root = np.array([union.find(i) for i in range(n)], np.int64)
+    edges = length_edges(TOP / BOTTOM, int(size.max(initial=1)))
+    part = np.array([length_partition(x, TOP / BOTTOM, edges) for x in sizes], np.int64)
+    heads = []
+    for x, p in zip(sizes, paths, strict=True):
+        room = x - -(-TOP * x // BOTTOM) + 1 - (x - len(p))
+        heads.append(p[len(p) - room :] if room > 0 else p[:0])
+    token = np.concatenate(heads) if heads else np.empty(0, np.int32)
+    owner = np.repeat(np.arange(n), [len(h) for h in heads])
+    owner = owner[np.argsort(token, kind="stable")]
+    at = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=n_ranks)))).tolist()
+    met, found = np.zeros(n, bool), []
+    may = np.arange(n) >= probes
+    for i in range(probes or n):
+        for t in heads[i].tolist():
+            met[owner[at[t] : at[t + 1]]] = True
+        near = np.flatnonzero(met & may & (np.abs(part - part[i]) <= 1) & (root != root[i]))
+        met[:] = False
+        while len(near):
+            y = int(near[0])
+            need = -(-TOP * (sizes[i] + sizes[y]) // (TOP + BOTTOM))  # common / (size + other - common) >= TOP / BOTTOM
+            near = near[1:]
+            if common_count(paths[i], paths[y], need) >= 0:
+                found.append((labels[i], labels[y]))
+                root[root == root[y]] = root[i]
+                near = near[root[near] != root[i]]
+    return found
+
+
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_signatures, component_id) for every row: the least id reachable by links, its own included."""
+    return set_components(docs, signature_sets, link_by_length, id=id, text=text, block=block).withColumnRenamed("n_shingles", "n_signatures")
+
+
 # --- the documents in their order -----------------------------------------------------------------------------
 
 

@@ -73,6 +73,54 @@ def test_pruned_jaccard():
             assert all(abs(spotsigs.length_partition(x, t) - spotsigs.length_partition(y, t)) <= 1 for y in range(x, int(x / t) + 1))
 
 
+def brute_components(ids, sets):
+    union = jaccard_join.Union(len(ids))
+    for a in range(len(ids)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 80 * len(sets[a] | sets[b]):
+                union.join(a, b)
+    return [union.find(i) for i in range(len(ids))]
+
+
+@pytest.mark.parametrize("block", [4000, 2])
+def test_spot_join(docs, corpus, empty, block):
+    import pyarrow as pa
+
+    texts = sorted(distinct(corpus).items())
+    sets = [set(s.tolist()) for _, s in spotsigs.signature_sets(pa.array([t for _, t in texts]))]
+    roots = brute_components([i for i, _ in texts], sets)
+    want = {i: (len(s), texts[r][0]) for (i, _), s, r in zip(texts, sets, roots, strict=True)}
+    got = spotsigs.near_duplicates(docs, block=block).collect()
+    assert len(got) == len(corpus) and all((r["n_signatures"], r["component_id"]) == want[r["doc_id"]] for r in got)
+    assert len({c for _, c in want.values()}) < len(want) - 5
+    if block > 2:
+        assert spotsigs.near_duplicates(empty).count() == 0
+
+
+def test_length_partitions_find_all_links():
+    rnd = random.Random(3)
+    for _ in range(30):
+        sets = [sorted(rnd.sample(range(60), rnd.randint(1, 40))) for _ in range(25)]
+        sets += [sorted(set(s[1:] + [rnd.randrange(60)])) for s in sets]
+        sets += [sorted(set(s) | {rnd.randrange(60) for _ in range(len(s) // 4)}) for s in sets[:25]]
+        blobs, n = [np.array(s, np.uint64).tobytes() for s in sets], len(sets)
+        brute = brute_components(range(n), [set(s) for s in sets])
+        union = jaccard_join.Union(n)
+        for a, b in spotsigs.link_by_length(list(range(n)), [len(s) for s in sets], blobs):
+            assert 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))
+            union.join(a, b)
+        assert [union.find(i) for i in range(n)] == brute
+        # the first ten against the rest give what the prefix tree gives
+        one, two = (jaccard_join.Union(n) for _ in range(2))
+        for a, b in spotsigs.link_by_length(list(range(n)), [len(s) for s in sets], blobs, 10):
+            assert min(a, b) < 10 <= max(a, b)
+            one.join(a, b)
+        for a, b in jaccard_join.link_sets(list(range(n)), [len(s) for s in sets], blobs, 10):
+            two.join(a, b)
+        assert [one.find(i) for i in range(n)] == [two.find(i) for i in range(n)]
+
+
 def test_substrings(docs, corpus, empty):
     texts = [(r[0], WORD.findall(r[1] or "")) for r in corpus]
     owner = {}
