@@ -31,8 +31,9 @@ MIN_GROUP = 60
 CORE, STEPS = 0.75, 4
 #: Squared distance beyond which a document is an outlier: the 0.9999 quantile of chi-square with 7 degrees.
 CUTOFF = 29.88
-#: Least standard deviation of each statistic: many are constant in clean text.
-FLOOR = np.array([0.9, 0.25, 0.06, 0.06, 0.12, 0.08, 0.08])
+#: Least standard deviation of each statistic: many are constant in clean text. A rate is at most asinh(10) / 10 = 0.2998
+#: (at half the words or lines 0.2312), so floors of rates are low enough for each to pass CUTOFF by itself.
+FLOOR = np.array([0.9, 0.25, 0.03, 0.0415, 0.052, 0.045, 0.045])
 NAMES = ["x_length", "x_word", "x_symbols", "x_lines", "x_repeats", "x_upper", "x_marks"]
 _HASHER = Hasher(31)
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long, n_lines long"

@@ -247,6 +247,28 @@ def test_outliers_are_found(spark):
     assert d[0] > outliers.CUTOFF and max(v for k, v in d.items() if k) < outliers.CUTOFF
 
 
+def test_each_statistic_rejects_alone(spark):
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(2000)]
+    say = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    prose = lambda: "\n".join(" ".join(say(10)).capitalize() + "." for _ in range(rnd.randint(6, 30)))
+    odd = {
+        0: " ".join(w + "#" * (i % 2) for i, w in enumerate(say(200))),
+        1: prose().upper(),
+        2: " ".join("".join(rnd.choice(".,;:!?-") for _ in range(6)) for _ in range(200)),
+        3: "\n".join(line for _ in range(60) for line in [" ".join(say(3))] * 2),
+    }
+    texts = odd | {i: prose() for i in range(4, 204)}
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in outliers.quality_rules(df).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert sorted(i for i, r in out.items() if not r["kept"]) == sorted(odd)
+    # repeated words alone, before the base rule
+    stats = [(i, "en", "s", 200 + i % 50, 1000 + i % 200, 0, 0, 0 if i else 200, 20, 40, 20) for i in range(200)]
+    d = {r["doc_id"]: r["d2"] for r in outliers.outlier_distances(outliers.vectors(spark.createDataFrame(stats, outliers.STATS))).collect()}
+    assert [i for i, v in d.items() if v > outliers.CUTOFF] == [0]
+
+
 def test_classifier(spark, docs, empty):
     rnd = random.Random(6)
     good = [(i, " ".join(rnd.choice(["river", "stone", "meadow", "lantern"]) for _ in range(30)), 1) for i in range(120)]
