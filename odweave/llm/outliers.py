@@ -5,7 +5,8 @@ determinant estimate of location and scatter is found by concentration steps: di
 estimate, the h nearest documents, their mean and covariance, again. A step is one aggregation of moments over
 the table of statistics, partial before the shuffle, so a source with a third of all documents costs its task a
 few numbers. A document is rejected when its squared Mahalanobis distance passes a far chi-square quantile.
-Groups of under `MIN_GROUP` documents use their language's estimate, or that of all.
+Groups of under `MIN_GROUP` documents use the estimate of all documents of their language, or that of all documents
+if the language has as few; those estimates are made like that of a group, and only where one looks them up.
 
 Contract: null texts have no words (and fail the base rule); null language or source is a group of its own.
 Repeated rows count as rows. An empty table gives an empty result.
@@ -143,11 +144,15 @@ def _distance() -> Column:
 
 def outlier_distances(vectors_: DataFrame, *, core: float = CORE, n_steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
     """Adds grp and d2 to vectors with lang and source."""
-    lang, pair = F.coalesce("lang", F.lit("\x00")), F.concat_ws("\x01", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    lang, pair, every = F.concat(F.lit("l"), named("lang")), F.concat(F.lit("p"), named("lang"), F.lit("\x01"), named("source")), F.lit("")
     counts = vectors_.groupBy("lang", "source").count()
     by_lang = counts.groupBy("lang").agg(F.sum("count").alias("in_lang"))
-    sized = counts.join(by_lang.withColumnRenamed("lang", "__l"), F.col("lang").eqNullSafe(F.col("__l"))).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.when(F.col("count") >= min_group, pair).when(F.col("in_lang") >= min_group, lang).otherwise(F.lit("")).alias("grp"))
-    data = materialize(vectors_.join(sized, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))).drop("__lang", "__source"))
+    sized = materialize(counts.join(by_lang.withColumnRenamed("lang", "__l"), F.col("lang").eqNullSafe(F.col("__l"))).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.when(F.col("count") >= min_group, pair).when(F.col("in_lang") >= min_group, lang).otherwise(every).alias("grp"), F.array(pair, lang, every).alias("grps")))
+    own = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
+    # a document counts in its pair, its language and among all, where a group looks that estimate up
+    part_of = materialize(sized.select("__lang", "__source", F.explode("grps").alias("grp")).join(sized.select("grp").distinct(), "grp", "left_semi"))
+    data = materialize(vectors_.join(part_of, own).select("grp", *NAMES))
     schema = "grp string, mean array<double>, precision array<double>"
     # the first estimate: the moments of documents near the medians of their group
     # tables of one row a group are written, so that their size is known and a hot group can be split otherwise
@@ -158,7 +163,7 @@ def outlier_distances(vectors_: DataFrame, *, core: float = CORE, n_steps: int =
         limit = materialize(near.groupBy("grp").agg(F.percentile_approx("d2", core, 1000).alias("limit")))
         moments = near.join(limit, "grp").where(F.col("d2") <= F.col("limit")).groupBy("grp").agg(*_moments())
         estimate = materialize(moments.mapInPandas(_estimates, schema))
-    return data.join(estimate, "grp").withColumn("d2", _distance()).drop("mean", "precision")
+    return vectors_.join(sized.drop("grps"), own).drop("__lang", "__source").join(estimate, "grp").withColumn("d2", _distance()).drop("mean", "precision")
 
 
 def quality_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:

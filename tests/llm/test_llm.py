@@ -269,6 +269,16 @@ def test_each_statistic_rejects_alone(spark):
     assert [i for i, v in d.items() if v > outliers.CUTOFF] == [0]
 
 
+def test_small_groups_use_the_estimate_of_all_rows_above(spark):
+    row = lambda i, lang, source, junk: (i, lang, source, 200 + i % 50, 1000 + i % 200, 600 * junk, 0, 0, 20, 40 + 600 * junk, 5)
+    data = [row(i, "en", "s", 0) for i in range(200)]
+    data += [row(200, "en", "one", 1), *[row(i, "en", "few", 1) for i in range(201, 206)], row(206, "en", None, 0)]
+    data += [row(207, "xx", "s", 1), row(208, None, None, 1), row(209, "xx", "s", 0), row(210, "", "t", 0)]
+    out = outliers.outlier_distances(outliers.vectors(spark.createDataFrame(data, outliers.STATS))).collect()
+    assert len(out) == len(data)
+    assert sorted(r["doc_id"] for r in out if r["d2"] > outliers.CUTOFF) == [200, 201, 202, 203, 204, 205, 207, 208]
+
+
 def test_classifier(spark, docs, empty):
     rnd = random.Random(6)
     good = [(i, " ".join(rnd.choice(["river", "stone", "meadow", "lantern"]) for _ in range(30)), 1) for i in range(120)]
