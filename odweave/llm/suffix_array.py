@@ -179,13 +179,13 @@ def pieces(data: np.ndarray, offsets: np.ndarray, min_len: int, anchor: int) ->
 
 
 def split_steps(texts: pa.ChunkedArray, min_len: int):  # noqa: ANN201
-    """steps(), with documents beyond the anchors' place bits cut into overlapping parts of whole strings."""
+    """steps(), with documents beyond the anchors' place bits cut into overlapping parts; each string lies whole in exactly one."""
     limit = 1 << (PLACE_BITS - 1)
     for i, data, offsets in steps(texts):
         if len(data) <= limit:
             yield i, data, offsets, 0
         else:
-            for k in range(0, max(1, len(data) - min_len + 1), limit - min_len):
+            for k in range(0, max(1, len(data) - min_len + 1), limit - min_len + 1):
                 part = data[k : k + limit]
                 yield i, part, np.array([0, len(part)]), k
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,17 @@ def test_strings(spark, docs, corpus, empty, step, monkeypatch):
     assert suffix_array.dedup_strings(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [2048, 2049, 2248, 3897, 3898, 9000])
+def test_each_string_start_is_in_one_part(n, monkeypatch):
+    monkeypatch.setattr(suffix_array, "PLACE_BITS", 12)  # parts of 2048 bytes
+    text = bytes(random.Random(n).choices(range(97, 123), k=n))
+    starts = []
+    for _, data, offsets, base in suffix_array.split_steps(pa.array([text.decode()], pa.string()), 200):
+        _, _, lo, hi, _ = suffix_array.pieces(data, offsets, 200, 100)
+        starts += [base + k for x, y in zip(lo.tolist(), hi.tolist(), strict=True) for k in range(x, y + 1)]
+    assert sorted(starts) == list(range(n - 199))
+
+
 def test_spot_signatures(docs, corpus, empty):
     out = {r["doc_id"]: r for r in spotsigs.fingerprint_in_order(docs).collect()}
     order = sorted(distinct(corpus).items(), reverse=True)
