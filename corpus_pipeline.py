@@ -49,7 +49,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("quality classifier", quality_classifier), ("line dedup", line_dedup), ("n-gram Jaccard join", ngram_jaccard), ("mixing sources to target weights", source_mix), ("best-fit packing", best_fit_packing)]
 
-#: A trained classifier, set joins and a tokenizer are beyond SQL; tests hold run() against a brute-force version.
+#: A trained classifier, set joins and a tokenizer are beyond SQL. Tests hold the ids after the Jaccard stage against brute
+#: force; of the rest only columns, the greatest length of a sequence and the number of run()'s rows.
 ORACLE_SQL = None
 
 
