@@ -4,15 +4,18 @@
 2. Classes learn how many of them hold each of their shingles (exchange, see common). With shingles in the order
    of that number, rarest first, two sets at the threshold share one among the first |x| - ceil(t |x|) + 1 of
    each. A set whose first ones are all its own has no partner; that leaves copies and near copies.
-3. Classes that share such a shingle form blocks (connected components of stars, one star a shingle, pre-aggregated
-   in each group). All links lie within blocks.
+3. The classes that hold such a shingle among their first ones are its posting list. A block is all lists with one
+   least class, found by a partial aggregation; each class goes, once, to the blocks of its first shingles. Any two
+   sets at the threshold so meet in a block, and nothing is closed transitively before it is verified: text made of
+   shared passages gives many small blocks, not one that chains them all.
 4. In a block, sets go into a prefix tree in one order, commonest shingle first, so that like sets share long
    paths. A set walks down the tree once, carrying the overlap of the path, and leaves a subtree when the
    overlap that remains possible is too small for any size below, or when all below is already linked to it.
 5. Blocks of more than BLOCK classes are cut into chunks. Chunks are joined by themselves, then one class for
    each component of each chunk among themselves, which unites what hangs together in bulk; the classes
-   outside the block's largest component, in blocks of their own, are then joined with every chunk. So a group of copies with a third
+   outside the block's largest component are then joined with every chunk. So a group of copies with a third
    of all documents is not in one task, and no link between components is missed.
+6. Components are those of the verified links.
 
 Contract: A-Z are lower-cased, words are `[^\\x20\\x09-\\x0D]+`; fewer than n words are one shingle, none (or null
 text) give an empty set, which links with nothing. Rows of one id count as linked. A null id counts as largest.
@@ -26,7 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odweave.llm.common import LOWER, PAYLOAD_DDL, U64, Hasher, bucket_bits, exchange, group_count, grouped, look_up, materialize, mix, payloads, received, send_keys, sequences, steps, tally, total_bytes, words
@@ -35,7 +38,7 @@ from odweave.llm.graphs import connected_components
 N = 5
 #: The threshold as a fraction: 80 / 100.
 TOP, BOTTOM = 4, 5
-BLOCK = 4000
+BLOCK = 1000
 LAST = 2**63 - 1
 _HASHER = Hasher(61)
 #: (index, sorted distinct 64-bit hashes) of each text of a column
@@ -105,42 +108,28 @@ def _send_shingles(bits: int, sets: Sets):  # noqa: ANN202
     return send
 
 
-CANDIDATE = "kind int, a long, b long, blob binary"
+CANDIDATE = "label long, size long, blob binary, head array<bigint>"
 
 
 def _candidates(bits: int, sets: Sets):  # noqa: ANN202
-    """Kind 0: (class, size, shingles that others hold). 1: (rare shingle, its least class here). 2: (class, such a least class)."""
+    """(class, size, shingles that others hold, the rarest of these that a partner must share one of)."""
 
     def candidates(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         m = Members(table, answers, sets)
         keys, counts = received(m.answers, bits)
-        kinds, a, b, blobs = [], [], [], []
-        rare, owner = [], []
+        labels, sizes, blobs, heads = [], [], [], []
         for cid, s in m.sets:
             df = look_up(s, keys, counts, bits)
             shared = df > 1
             prefix = len(s) - -(-TOP * len(s) // BOTTOM) + 1
             room = prefix - int((~shared).sum())
-            if room <= 0:
-                continue
-            t = s[shared]
-            head = t[np.lexsort((t, df[shared]))[:room]]
-            rare.append(head)
-            owner.append(np.full(len(head), cid, np.int64))
-            kinds.append(0), a.append(cid), b.append(len(s)), blobs.append(t.tobytes())
-        if rare:
-            token, cid = np.concatenate(rare), np.concatenate(owner)
-            order = np.lexsort((cid, token))
-            token, cid = token[order], cid[order]
-            new = np.concatenate(([True], token[1:] != token[:-1]))
-            least = cid[new][np.cumsum(new) - 1]
-            star = np.unique(np.stack((cid, least), 1)[cid != least], axis=0)
-            k = int(new.sum())
-            kinds += [1] * k + [2] * len(star)
-            a += token[new].view(np.int64).tolist() + star[:, 0].tolist()
-            b += cid[new].tolist() + star[:, 1].tolist()
-            blobs += [None] * (k + len(star))
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+            if room > 0:
+                t, n = s[shared], df[shared]
+                labels.append(cid)
+                sizes.append(len(s))
+                blobs.append(t.tobytes())
+                heads.append(t[np.lexsort((t, n))[:room]].view(np.int64))
+        return pa.table({"label": pa.array(labels, pa.int64()), "size": pa.array(sizes, pa.int64()), "blob": pa.array(blobs, pa.binary()), "head": pa.array(heads, pa.list_(pa.int64()))})
 
     return candidates
 
@@ -323,7 +312,7 @@ def _relabel(sets: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_large_blocks(sets: DataFrame, block: int = BLOCK, link: Link = link_sets) -> DataFrame:
-    """Links (a, b) in blocks of more than `block` sets; sets: (block, n, label, size, blob), labels distinct."""
+    """Links (a, b) in blocks of more than `block` sets; sets: (block, n, label, size, blob), a label once a block."""
     chunked = sets.withColumn("chunk", F.expr(f"pmod(xxhash64(label), cast(ceil(n / {block}) as int))").cast("int"))
     within = materialize(chunked.groupBy("block", "chunk").applyInArrow(_link_block(link), EDGE))
     one = materialize(_relabel(chunked.withColumn("cid", F.col("label")), within))
@@ -363,15 +352,15 @@ def set_components(docs: DataFrame, sets: Sets, link: Link, *, id: str = "doc_id
     named = classes.select(F.lit(-1).alias("bucket"), F.expr(f"pmod(xxhash64(cid), {groups})").cast("int").alias("g"), packed.alias("payload"))
     answers = exchange(base.groupBy("g").cogroup(named.groupBy("g")).applyInArrow(_send_shingles(bits, sets), PAYLOAD_DDL))
     found = materialize(base.groupBy("g").cogroup(named.unionByName(answers).groupBy("g")).applyInArrow(_candidates(bits, sets), CANDIDATE))
-    rare = found.where("kind = 1").select("b", F.min("b").over(Window.partitionBy("a")).alias("m")).where("b <> m")
-    stars = rare.select(F.col("b").alias("a"), F.col("m").alias("b")).union(found.where("kind = 2").select("a", "b")).distinct()
-    blocks = connected_components(stars).select(F.col("id").alias("a"), F.col("root").alias("block"))
-    counted = blocks.groupBy("block").agg(F.count("*").alias("n"))
-    placed = found.where("kind = 0").join(blocks, "a").join(counted, "block").select("block", "n", F.col("a").alias("label"), F.col("b").alias("size"), "blob")
-    small = placed.where(F.col("n") <= block).groupBy("block").applyInArrow(_link_block(link), EDGE)
-    links = small
+    posted = found.select("label", F.explode("head").alias("token"))
+    least = posted.groupBy("token").agg(F.min("label").alias("block"), F.count("*").alias("k")).where("k > 1").drop("k")
+    # written, so that what meets each other next is of known size and a block of very many classes can be split
+    dealt = materialize(posted.join(least, "token").select("label", "block").distinct())
+    counted = materialize(dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"))
+    placed = found.drop("head").join(dealt.join(counted, "block"), "label").select("block", "n", "label", "size", "blob")
+    links = placed.where(F.col("n") <= block).groupBy("block").applyInArrow(_link_block(link), EDGE)
     if counted.where(F.col("n") > block).limit(1).count():
-        links = small.union(link_large_blocks(materialize(placed.where(F.col("n") > block)), block, link))
+        links = links.union(link_large_blocks(materialize(placed.where(F.col("n") > block)), block, link))
     # rows of one id are one document, whatever their sets
     same = rows.where("n_shingles > 0").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
     twice = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
