@@ -111,6 +111,79 @@ def test_network_package(spark, package):
     assert (v["veh_id"], v["description"], v["auto_equivalent"]) == (1, "Big bus", 2.5)
 
 
+def test_several_packages_stay_apart(spark, package, tmp_path):
+    one = zipfile.ZipFile(package)
+    members = {n: one.read(n).decode() for n in one.namelist()}
+    shift = lambda body: body.replace(" 1 dwt", " 11 dwt").replace(" 2 dwt", " 12 dwt").replace(" 2\n", " 12\n")
+    other = members | {
+        "transit.221": shift(members["transit.221"]),
+        "segment_results.csv": "loop,line,i,j,transit_volume,transit_boardings\n1,T01a,11,12,7,8\n",
+        "exatt_nodes.241": "@b, inode\n7, 1\n",
+        "exatt_links.241": "@post, inode, jnode\n0, 1, 2\n1, 2, 1\n",
+    }
+    for name, body in (("a", members), ("b", other)):
+        with zipfile.ZipFile(tmp_path / f"{name}.nwp", "w") as z:
+            for n, text in body.items():
+                z.writestr(n, text)
+    both = str(tmp_path / "*.nwp")
+    name = lambda p: p[-5]
+    pairs = [(name(r["path"]), r["inode"], r["jnode"], r["loop"]) for r in packages.transit_network(spark, both)[1].orderBy("path", "seg_seq").collect()]
+    assert pairs == [("a", 1, 2, 1), ("a", 2, 1, 1), ("a", 1, 2, 2), ("b", 11, 12, 1), ("b", 12, 11, 1), ("b", 11, 12, 2)]
+    said = []
+    got = packages.transit_segment_results(spark, [str(tmp_path / "a.nwp"), str(tmp_path / "b.nwp")], report=said.append).orderBy("path", "seg_seq").collect()
+    assert [(name(r["path"]), r["boardings"], r["alightings"], r["volume"]) for r in got] == [("a", 5, 0, 5), ("a", 1, 2, 4), ("a", 0, 4, 0), ("b", 8, 1, 7), ("b", 0, 7, 0), ("b", 0, 0, 0)]
+    assert said == ["3 segments without results are set to 0"]
+    rows = packages.node_attributes(spark, both).orderBy("path").collect()
+    assert [(name(r["path"]), r["inode"], r["@a"], r["@b"]) for r in rows] == [("a", 1, 2.0, 3.0), ("b", 1, None, 7.0)]
+    assert [(name(r["path"]), r["inode"]) for r in packages.traffic_results_at_countpost(spark, both, "@post").orderBy("path").collect()] == [("a", 1), ("b", 2)]
+    assert [(name(r["path"]), r["stn_node"]) for r in packages.transit_station_results(spark, both, [2]).orderBy("path").collect()] == [("a", 2), ("b", 2)]
+    packages.base_network(spark, both, report=said.append)
+    assert said[1:] == ["2 modification records of links left out"]
+    assert packages.base_network(spark, both, keep_path=False)[0].columns[0] == "node"
+
+
+def test_csv_options(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.nwp", "w") as z:
+        z.writestr("exatt_nodes.241", "made by hand\ninode; @a; @n\n1; -9; |x;y| # odd\n".encode("latin-1"))
+        z.writestr("base.211", "t nodes\na 1 2 3\n")
+    r = packages.node_attributes(spark, str(tmp_path / "x.nwp"), sep=";", quote="|", skip_rows=1, comment="#", na_values=("-9",), encoding="latin-1").first()
+    assert (r["inode"], r["@a"], r["@n"]) == (1, None, None)
+    with pytest.raises(Exception, match="no member"):
+        packages.line_attributes(spark, str(tmp_path / "x.nwp"), "x").collect()
+    with pytest.raises(Exception, match="no header"):
+        packages.base_network(spark, str(tmp_path / "x.nwp"))[0].collect()
+
+
+def test_shared_folder_without_a_preset(tmp_path):
+    """A local session may lack spark.checkpoint.dir; a cluster may not."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from odweave import session
+spark = session.local_session(2, **{"spark.ui.enabled": "false"})
+assert not spark.conf.get("spark.checkpoint.dir", None)
+with session.scratch(spark):
+    path = session.shared_dir(spark)
+    spark.range(5).write.parquet(path)
+    assert spark.read.parquet(path).count() == 5
+    session.write_bytes(spark, path + "/x", b"abc")
+import os
+assert not os.path.exists(path.removeprefix("file://"))
+class Far:
+    conf = spark.conf
+    class sparkContext:
+        master = "spark://far:7077"
+try:
+    session.shared_dir(Far)
+except RuntimeError as e:
+    print("raised", e)
+"""
+    done = subprocess.run([sys.executable, "-c", code], env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.getcwd()}, capture_output=True, text=True, timeout=300)
+    assert "raised set spark.checkpoint.dir" in done.stdout, done.stderr[-2000:]
+
+
 def test_logging(tmp_path):
     logger = log.init_root("model", style=log.JSON)
     with pytest.raises(RuntimeError), log.log_to_file(str(tmp_path / "a.log"), "model") as own:
