@@ -35,12 +35,8 @@ def collapse_spaces(s: Column) -> Column:
     return F.regexp_replace(F.trim(s), "\\s+", " ")
 
 
-def bin_label(a: Column, b: Column) -> Column:
-    return F.concat_ws(" to ", a.cast("string"), b.cast("string"))
-
-
 def identifier(s: Column) -> Column:
-    """Whether a value is a valid Python name and no keyword."""
+    """Whether a value is a valid Python name (letters of any script) and no keyword."""
     import keyword
 
-    return s.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~s.isin(*keyword.kwlist)
+    return s.rlike(r"^[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*$") & ~s.isin(*keyword.kwlist)

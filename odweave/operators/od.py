@@ -17,12 +17,12 @@ def _agg(how: Agg, column: str) -> Column:
     return how(F.col(column)) if callable(how) else getattr(F, how)(F.col(column))
 
 
-def aggregate_matrix(matrix: DataFrame, *, groups: DataFrame | None = None, row_groups: DataFrame | None = None, col_groups: DataFrame | None = None, aggfunc: Agg = "sum", wide: bool = False, check: bool = False, origin: str = "o", dest: str = "d", value: str = "value") -> DataFrame:
+def aggregate_matrix(matrix: DataFrame, *, groups: DataFrame | None = None, row_groups: DataFrame | None = None, col_groups: DataFrame | None = None, aggfunc: Agg = "sum", wide: bool = False, check: bool = False, ordered: bool = False, origin: str = "o", dest: str = "d", value: str = "value") -> DataFrame:
     """Aggregates cells to groups given as (zone, group) tables.
 
     Rows whose zone has no group or a null group drop out. `wide=True` applies `aggfunc` in two passes, rows
     first, which differs from one pass for mean, median, std, count and the like. `aggfunc` is the name of a
-    pyspark aggregate or a function from Column to Column.
+    pyspark aggregate or a function from Column to Column. `ordered` sorts the result by its groups.
     """
     row_groups = groups if row_groups is None else row_groups
     col_groups = groups if col_groups is None else col_groups
@@ -34,9 +34,11 @@ def aggregate_matrix(matrix: DataFrame, *, groups: DataFrame | None = None, row_
     rows = row_groups.where("group is not null").select(F.col("zone").alias(origin), F.col("group").alias("row_group"))
     cols = col_groups.where("group is not null").select(F.col("zone").alias(dest), F.col("group").alias("col_group"))
     if not wide:
-        return matrix.join(rows, origin).join(cols, dest).groupBy("row_group", "col_group").agg(_agg(aggfunc, value).alias(value))
+        out = matrix.join(rows, origin).join(cols, dest).groupBy("row_group", "col_group").agg(_agg(aggfunc, value).alias(value))
+        return out.orderBy("row_group", "col_group") if ordered else out
     first = matrix.join(rows, origin).groupBy("row_group", dest).agg(_agg(aggfunc, value).alias(value))
-    return first.join(cols, dest).groupBy("row_group", "col_group").agg(_agg(aggfunc, value).alias(value))
+    out = first.join(cols, dest).groupBy("row_group", "col_group").agg(_agg(aggfunc, value).alias(value))
+    return out.orderBy("row_group", "col_group") if ordered else out
 
 
 def map_to_matrix(pairs: DataFrame, zones: DataFrame, *, fill: float = 0, grouper: Agg = "sum", out: DataFrame | None = None, operand: str = "+", check: bool = True, origin: str = "o", dest: str = "d", value: str = "value") -> DataFrame:
@@ -88,8 +90,11 @@ def disaggregate_matrix(matrix: DataFrame, *, correspondence: DataFrame | None =
     return matrix.join(r, origin).join(c, dest).select(F.col("__o").alias(origin), F.col("__d").alias(dest), (F.col(value) * F.col("__po") * F.col("__pd")).alias(value))
 
 
-def split_zone(matrix: DataFrame, old_zone: object, new_zones: Sequence[object], proportions: Sequence[float], *, origin: str = "o", dest: str = "d", value: str = "value") -> DataFrame:
-    """Replaces one zone by several; row, column and the intrazonal cell are prorated. The result is double."""
+def split_zone(matrix: DataFrame, old_zone: object, new_zones: Sequence[object], proportions: Sequence[float], *, ordered: bool = False, origin: str = "o", dest: str = "d", value: str = "value") -> DataFrame:
+    """Replaces one zone by several; row, column and the intrazonal cell are prorated. The result is double.
+
+    `ordered` sorts it by zones.
+    """
     if len(new_zones) != len(proportions):
         raise ValueError("new_zones and proportions differ in length")
     if abs(sum(proportions) - 1) > 1e-8 + 1e-5:
@@ -101,7 +106,8 @@ def split_zone(matrix: DataFrame, old_zone: object, new_zones: Sequence[object],
         out = df.withColumn("__s", F.explode(F.when(F.col(axis) == F.lit(old_zone), parts).otherwise(alone)))
         return out.withColumn(axis, F.col("__s.zone")).withColumn(value, F.col(value) * F.col("__s.p")).drop("__s")
 
-    return expand(expand(matrix.withColumn(value, F.col(value).cast("double")), origin), dest)
+    out = expand(expand(matrix.withColumn(value, F.col(value).cast("double")), origin), dest)
+    return out.orderBy(origin, dest) if ordered else out
 
 
 def stack(wide: DataFrame, *, origin: str = "o", dest: str = "d", value: str = "value", columns: Sequence[str] | None = None, drop_null: bool = False) -> DataFrame:

@@ -88,6 +88,11 @@ def category_codes(frames: list[DataFrame], column: str) -> tuple[DataFrame, lis
     return codes, [f.join(codes.withColumnsRenamed({"category": column, "code": f"{column}_code"}), column, "left") for f in frames]
 
 
+def category_difference(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """Categories of a's column that b's lacks."""
+    return a.select(column).where(F.col(column).isNotNull()).distinct().join(b.select(column), column, "left_anti")
+
+
 def align_categories(items: list[DataFrame]) -> list[DataFrame]:
     """Adds, for every string column of frames of equal kind, codes over the categories of all."""
     names = {c for f in items for c, kind in f.dtypes if kind == "string"}

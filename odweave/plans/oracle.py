@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from odweave.plans import file_queries
+
 FLOWS = """flows AS (SELECT c_nationkey o, s_nationkey d, CAST(SUM(l_quantity) AS BIGINT) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey
  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
 LEGS = """pk AS (SELECT c_nationkey p, p_brand k, CAST(SUM(l_quantity) AS DOUBLE) AS cost, COUNT(*) n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
  JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 kq AS (SELECT p_brand k, s_nationkey q, CAST(SUM(l_quantity) AS DOUBLE) AS cost, COUNT(*) n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
  JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+ZONES = "z AS (SELECT n_nationkey AS zone FROM nation UNION ALL SELECT r_regionkey + 100 FROM region)"
 REGIONS = "g AS (SELECT n_nationkey zone, n_regionkey grp FROM nation)"
 
 
@@ -86,13 +89,13 @@ SELECT p, q, k, cost, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, ROW_NUMBER()
         "od_aggregate_max": _one_pass("MAX"),
         "od_aggregate_wide_mean": _two_pass("AVG"),
         "od_aggregate_wide_median": _two_pass("MEDIAN"),
-        "od_map_to_square": f"WITH {FLOWS} SELECT a.n_nationkey AS o, b.n_nationkey AS d, COALESCE(value, 0) AS value FROM nation a CROSS JOIN nation b LEFT JOIN flows ON o = a.n_nationkey AND d = b.n_nationkey AND value % 3 = 0",
-        "od_map_into_existing": f"WITH {FLOWS} SELECT a.n_nationkey AS o, b.n_nationkey AS d, COALESCE(value, 0) * 2 - CASE WHEN value % 3 = 0 THEN value ELSE 0 END AS value FROM nation a CROSS JOIN nation b LEFT JOIN flows ON o = a.n_nationkey AND d = b.n_nationkey",
-        "od_coerce_square": f"""WITH {FLOWS}, f AS (SELECT * FROM flows WHERE o % 2 = 0), z AS (SELECT o AS zone FROM f UNION SELECT d FROM f)
+        "od_map_to_square": f"WITH {FLOWS}, {ZONES} SELECT a.zone AS o, b.zone AS d, COALESCE(value, 0) AS value FROM z a CROSS JOIN z b LEFT JOIN flows ON o = a.zone AND d = b.zone",
+        "od_map_into_existing": f"WITH {FLOWS}, {ZONES} SELECT a.zone AS o, b.zone AS d, COALESCE(value, 0) * 2 - COALESCE(value, 0) AS value FROM z a CROSS JOIN z b LEFT JOIN flows ON o = a.zone AND d = b.zone",
+        "od_coerce_square": f"""WITH {FLOWS}, f AS (SELECT o, n_regionkey + 100 AS d, SUM(value) AS value FROM flows JOIN nation ON d = n_nationkey GROUP BY 1, 2), z AS (SELECT o AS zone FROM f UNION SELECT d FROM f)
 SELECT a.zone AS o, b.zone AS d, CAST(CAST(COALESCE(value, 0) AS FLOAT) AS DOUBLE) AS value FROM z a CROSS JOIN z b LEFT JOIN f ON o = a.zone AND d = b.zone""",
         "expand_array": f"WITH {FLOWS}, z AS (SELECT CAST(i AS INTEGER) AS zone FROM range(27) r(i)) SELECT a.zone AS o, b.zone AS d, COALESCE(value, 0) AS value FROM z a CROSS JOIN z b LEFT JOIN flows ON o = a.zone AND d = b.zone",
         "od_stack": f"WITH {FLOWS} SELECT a.o, b.n_nationkey AS d, value FROM (SELECT DISTINCT o FROM flows) a CROSS JOIN nation b LEFT JOIN flows f ON f.o = a.o AND f.d = b.n_nationkey",
-        "od_unstack": f"WITH {FLOWS} SELECT o, " + ", ".join(f"MAX(CASE WHEN d = {i} THEN value END) AS d{i}" for i in range(4)) + " FROM flows GROUP BY o",
+        "od_unstack": f"WITH {FLOWS} SELECT o, " + ", ".join(f"MAX(CASE WHEN d = {i} THEN value END) AS d{i}" for i in range(25)) + " FROM flows GROUP BY o",
         "od_totals": f"WITH {FLOWS} SELECT o AS zone, CAST(SUM(value) AS BIGINT) AS total, 'o' AS axis FROM flows GROUP BY o UNION ALL SELECT d, CAST(SUM(value) AS BIGINT), 'd' FROM flows GROUP BY d",
         "disaggregate_nations": f"""WITH {FLOWS}, f AS (SELECT n_regionkey o, d, SUM(value) AS value FROM flows JOIN nation ON o = n_nationkey GROUP BY 1, 2),
 r AS (SELECT n_nationkey AS new, n_regionkey AS old, (n_nationkey + 1.0) / SUM(n_nationkey + 1.0) OVER (PARTITION BY n_regionkey) AS p FROM nation),
@@ -122,6 +125,7 @@ SELECT user_id, ts, CAST(ROUND_EVEN(u, 0) - ROUND_EVEN(u - v, 0) AS INTEGER) AS
 UNION ALL SELECT s_nationkey, MAX(s_suppkey), COUNT(*) FROM supplier GROUP BY 1) GROUP BY k""",
         "natural_sort_rank": "SELECT p_brand, CAST(ROW_NUMBER() OVER (ORDER BY REGEXP_REPLACE(p_brand, '[0-9]+', ''), CAST(REGEXP_EXTRACT(p_brand, '[0-9]+') AS INTEGER)) AS INTEGER) AS position FROM (SELECT DISTINCT p_brand FROM part)",
         "category_codes": "SELECT category, CAST(ROW_NUMBER() OVER (ORDER BY category) - 1 AS INTEGER) AS code FROM (SELECT o_orderpriority AS category FROM orders UNION SELECT c_mktsegment FROM customer)",
+        "category_difference": "SELECT DISTINCT p_brand AS brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity = (SELECT MAX(l_quantity) FROM lineitem))",
         "align_categories": """WITH z AS (SELECT category, CAST(ROW_NUMBER() OVER (ORDER BY category) - 1 AS INTEGER) AS code FROM (SELECT o_orderpriority AS category FROM orders UNION SELECT c_mktsegment FROM customer)),
 u AS (SELECT o_orderpriority AS c, COUNT(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT c_mktsegment, COUNT(*) FROM customer GROUP BY 1) SELECT c, code AS c_code, n AS "count" FROM u JOIN z ON c = category""",
         "line_id_parse": f"WITH {LINE_IDS} SELECT line, operator, route FROM parsed",
@@ -146,4 +150,4 @@ f AS (SELECT zone, model, target * (SUM(model) OVER () / SUM(target) OVER ()) AS
         "trumpet_curve": """WITH c AS (SELECT MAX(n) AS top FROM (SELECT COUNT(*) AS n FROM customer GROUP BY c_nationkey)), x AS (SELECT CAST(10 * i + 1 AS DOUBLE) AS x FROM range(100000) r(i), c WHERE 10 * i + 1 < top * 1.05)
 SELECT x, ROUND((-13.7722 + 555.1382 * POW(x, -0.26025)) / 100, 6) AS upper, ROUND(-(-13.7722 + 555.1382 * POW(x, -0.26025)) / 100, 6) AS lower FROM x""",
         "matrix_file_round_trip": f"WITH {FLOWS} SELECT kind, COUNT(*) AS cells, CAST(SUM(value) AS BIGINT) AS total FROM flows, (VALUES ('mdf'), ('emx'), ('fortran')) t(kind) WHERE value <> 0 GROUP BY kind",
-    }
+    } | file_queries.ORACLES

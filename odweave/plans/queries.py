@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from odweave.functions import text
 from odweave.operators import balance, intermediates, measures, network, od, zones
-from odweave.session import table
+from odweave.plans import file_queries
+from odweave.session import mounted_dir, table
 
 
 def _qty() -> F.Column:
@@ -106,19 +107,27 @@ def od_aggregate_max(s: SparkSession, d: str) -> DataFrame:
     return od.aggregate_matrix(nation_flows(s, d), groups=regions(s, d), aggfunc="max")
 
 
+def zones_and_regions(s: SparkSession, d: str) -> DataFrame:
+    """Nations, and regions as zones from 100 on, which no flow between nations touches."""
+    return nations(s, d).union(table(s, d, "region").select((F.col("r_regionkey") + 100).alias("zone")))
+
+
 def od_map_to_square(s: SparkSession, d: str) -> DataFrame:
-    flows = nation_flows(s, d).where("value % 3 = 0")
-    return od.map_to_matrix(flows, nations(s, d), check=False)
+    return od.map_to_matrix(nation_flows(s, d), zones_and_regions(s, d), check=False)
 
 
 def od_map_into_existing(s: SparkSession, d: str) -> DataFrame:
+    """Twice the flows between nations, in a matrix with regions too, less the flows themselves."""
     flows = nation_flows(s, d)
     base = flows.select("o", "d", (F.col("value") * 2).alias("value"))
-    return od.map_to_matrix(flows.where("value % 3 = 0"), nations(s, d), out=base, operand="-", check=False).withColumn("value", F.col("value").cast("bigint"))
+    return od.map_to_matrix(flows, zones_and_regions(s, d), out=base, operand="-", check=False).withColumn("value", F.col("value").cast("bigint"))
 
 
 def od_coerce_square(s: SparkSession, d: str) -> DataFrame:
-    return zones.coerce_square(nation_flows(s, d).where("o % 2 = 0")).withColumn("value", F.col("value").cast("double"))
+    """Flows from nations to regions, as one square."""
+    to = regions(s, d).select(F.col("zone").alias("d"), (F.col("group") + 100).alias("region"))
+    oblong = nation_flows(s, d).join(to, "d").groupBy("o", F.col("region").alias("d")).agg(F.sum("value").alias("value"))
+    return zones.coerce_square(oblong).withColumn("value", F.col("value").cast("double"))
 
 
 def expand_array(s: SparkSession, d: str) -> DataFrame:
@@ -131,8 +140,8 @@ def od_stack(s: SparkSession, d: str) -> DataFrame:
 
 
 def od_unstack(s: SparkSession, d: str) -> DataFrame:
-    wide = od.unstack(nation_flows(s, d), [0, 1, 2, 3])
-    return wide.select("o", *[F.col(f"`{i}`").alias(f"d{i}") for i in range(4)])
+    wide = od.unstack(nation_flows(s, d), range(25))
+    return wide.select("o", *[F.col(f"`{i}`").alias(f"d{i}") for i in range(25)])
 
 
 def od_totals(s: SparkSession, d: str) -> DataFrame:
@@ -252,6 +261,14 @@ def category_codes(s: SparkSession, d: str) -> DataFrame:
     return zones.category_codes([a, b], "c")[0]
 
 
+def category_difference(s: SparkSession, d: str) -> DataFrame:
+    """Brands that no line item of the greatest quantity has."""
+    parts = table(s, d, "part").select("p_partkey", F.col("p_brand").alias("brand"))
+    li = table(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    most = li.agg(F.max("l_quantity").alias("l_quantity"))
+    return zones.category_difference(parts, parts.join(li.join(F.broadcast(most), "l_quantity"), "p_partkey"), "brand")
+
+
 def align_categories(s: SparkSession, d: str) -> DataFrame:
     a = table(s, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("c"))
     b = table(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("c"))
@@ -339,12 +356,10 @@ def trumpet_curve(s: SparkSession, d: str) -> DataFrame:
 def matrix_file_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Writes the flows as mdf and reads them back; one row a format with cells and sum."""
     import os
-    import tempfile
 
     from odweave.sources import matrix_files as m
 
-    flows = nation_flows(s, d)
-    base = tempfile.mkdtemp()
+    flows, base = nation_flows(s, d), mounted_dir(s)
     m.to_mdf(flows, os.path.join(base, "a.mdf"))
     m.to_emx(flows, os.path.join(base, "a.emx"), 25)
     m.to_fortran(flows, os.path.join(base, "a.bin"))
@@ -356,7 +371,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         best_intermediate_unavailable, best_intermediate_subset, od_aggregate_regions, od_aggregate_wide_mean, od_aggregate_wide_median, od_aggregate_max, od_map_to_square, od_map_into_existing, od_coerce_square, expand_array, od_stack, od_unstack,
         od_totals, disaggregate_nations, split_zone, balance_rows_1d, balance_cols_1d, balance_2d_k_iters, balance_2d_converged, bucket_round_prices, bucket_round_hundreds, tlfd_intrazonal, distance_rows, lookup_reindex, lookup_fill, zone_indexers,
-        sum_frames, natural_sort_rank, category_codes, align_categories, line_id_parse, eng_notation, segment_next_node, segment_alightings, result_summary, station_on_off, semi_join_countpost, relative_error_summary, convergence_errors, trumpet_points, trumpet_curve, matrix_file_round_trip,
+        sum_frames, natural_sort_rank, category_codes, category_difference, align_categories, line_id_parse, eng_notation, segment_next_node, segment_alightings, result_summary, station_on_off, semi_join_countpost, relative_error_summary, convergence_errors, trumpet_points, trumpet_curve, matrix_file_round_trip,
     ]
     out = {f.__name__: f for f in own}
     out |= {
@@ -371,4 +386,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "distance_manhattan": lambda s, d: _distance(s, d, "MANHATTAN"),
         "distance_haversine": lambda s, d: _distance(s, d, "HAVERSINE"),
     }
-    return out
+    return out | file_queries.QUERIES

@@ -194,3 +194,29 @@ def test_streams_are_refused_or_run(spark, tmp_path):
     q.stop()
     assert [tuple(r) for r in spark.table("hist").collect()] == [(2, 1)]
     assert math.isfinite(1.0)
+
+
+def test_ordered_results(spark):
+    from odweave.operators import network, od
+
+    m = spark.createDataFrame([(o, d, 1.0) for o in (3, 1, 2) for d in (2, 3, 1)], "o long, d long, value double").repartition(3)
+    split = [(r["o"], r["d"]) for r in od.split_zone(m, 2, [5, 4], [0.5, 0.5], ordered=True).collect()]
+    assert split == sorted(split) and len(split) == 16
+    groups = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c")], "zone long, group string")
+    for wide in (False, True):
+        got = [(r["row_group"], r["col_group"]) for r in od.aggregate_matrix(m, groups=groups, wide=wide, ordered=True).collect()]
+        assert got == sorted(got) and len(got) == 9
+    r = spark.createDataFrame([(x, 1.0, 1.0) for x in ("T100a", "T9a", "T010a", "TXa", "B2" + "1" * 40 + "a", "B3a")], "line string, transit_boardings double, transit_volume double")
+    assert [x["route"] for x in network.result_summary(r, parse_line_id=True, ordered=True).collect()] == ["3", "2" + "1" * 40, "9", "10", "100", ""]
+    flows = spark.createDataFrame([(1, 2, 3.0)], "i long, j long, v double")
+    assert [x["stn_node"] for x in network.station_results(flows, [9, 2, 5], ordered=True).collect()] == [2, 5, 9]
+
+
+def test_names_of_any_script(spark):
+    from odweave.functions.text import identifier
+    from odweave.operators import zones
+    from pyspark.sql import functions as F
+
+    names = ["abc", "1a", "for", "été", "名前", "a b", "_x9", "", "a-b", "ä́2"]
+    got = {r["n"]: r["ok"] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", identifier(F.col("n")).alias("ok")).collect()}
+    assert got == {n: zones.is_identifier(n) for n in names}
