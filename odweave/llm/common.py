@@ -9,20 +9,16 @@ reaches its bucket once a group, not once a document.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import functools
 import math
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from odweave.session import shared_dir
+
 U64 = np.uint64
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SEPARATOR = np.zeros(256, bool)
@@ -35,60 +31,6 @@ STEP_BYTES = 1 << 19
 GROUP_BYTES = 6 << 20
 
 
-#: Folders of tables written so far, the innermost scratch() last.
-_SCOPES: list[list[str]] = [[]]
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session (whose executors are the driver) gets a folder of this machine; a cluster
-    raises, as executors elsewhere would write to disks of their own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _local_root()
-    return f"{base.rstrip('/')}/odweave/{spark.sparkContext.applicationId}"
-
-
-@functools.cache
-def _local_root() -> str:
-    path = tempfile.mkdtemp(prefix="odweave-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return "file://" + path
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below shared_root."""
-    path = f"{shared_root(spark)}/{uuid.uuid4().hex}"
-    _SCOPES[-1].append(path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder on whatever file system it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end the tables written within; results that still have to read them must be written before."""
-    _SCOPES.append([])
-    try:
-        yield
-    finally:
-        for path in _SCOPES.pop():
-            remove(spark, path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes all intermediate tables of this application; what reads them must be done."""
-    remove(spark, shared_root(spark))
-
-
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes to the shared folder and reads back: cuts lineage, survives lost executors."""
     path = path or shared_dir(df.sparkSession)

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import materialize, remove, shared_dir
+from odweave.llm.common import materialize
+from odweave.session import remove, shared_dir
 
 #: Edges that a task contracts at a time.
 CONTRACT_EDGES = 500_000

@@ -20,7 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odweave.llm.common import materialize, shared_dir
+from odweave.llm.common import materialize
+from odweave.session import remove, shared_dir
 
 BLANKS = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,25 +37,28 @@ def _lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """The runs of one history of batches."""
+    """The runs of one history of batches: bucketed tables whose files are in the shared folder."""
 
     def __init__(self, spark: SparkSession, *, buckets: int | None = None, fan_in: int = 3):
         self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
-        self.written = 0
+        self.paths: dict[str, str] = {}
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in reversed(self.levels) for t in level]
 
     def _write(self, df: DataFrame) -> str:
-        self.written += 1
-        name = f"{self.name}_{self.written}"
-        by = ("h1", "h2")
-        df.repartition(self.buckets, *by).write.bucketBy(self.buckets, *by).sortBy(*by).saveAsTable(name)
+        name, by = f"{self.name}_{len(self.paths)}", ("h1", "h2")
+        self.paths[name] = shared_dir(self.spark)
+        df.repartition(self.buckets, *by).write.bucketBy(self.buckets, *by).sortBy(*by).option("path", self.paths[name]).saveAsTable(name)
         return name
 
+    def _forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self.paths[name])
+
     def add(self, keys: DataFrame) -> DataFrame:
         """Takes a batch's (h1, h2, doc, last): the least and largest id by key. Returns the keys that drop lines.
 
@@ -64,26 +68,23 @@ class LineRuns:
         for run in self.runs():
             fresh = fresh.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
         table = self._write(fresh.select("h1", "h2", F.col("doc").alias("owner")))
-        new = self.spark.table(table)
         self.levels[0].append(table)
-        drops = keys.join(new, ["h1", "h2"], "left").where("owner is null or last > owner").select("h1", "h2", "owner")
-        return drops
+        return keys.join(self.spark.table(table), ["h1", "h2"], "left").where("owner is null or last > owner").select("h1", "h2", "owner")
 
     def compact(self) -> None:
         for i in range(len(self.levels)):
             if len(self.levels[i]) >= self.fan_in:
                 merged = self._write(reduce(lambda a, b: a.unionByName(b), [self.spark.table(t) for t in self.levels[i]]))
                 for t in self.levels[i]:
-                    self.spark.sql(f"DROP TABLE {t}")
+                    self._forget(t)
                 self.levels[i] = []
                 if i + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[i + 1].append(merged)
 
     def drop(self) -> None:
-        for level in self.levels:
-            for t in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        for name in self.paths:
+            self._forget(name)
         self.levels = [[]]
 
 
@@ -92,29 +93,37 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_
     spark = docs.sparkSession
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     doc, version = F.coalesce(F.col(id).cast("long"), F.lit(LAST)), F.xxhash64(text)
-    bounds = docs.agg(F.percentile_approx(doc, [i / batches for i in range(1, batches)], 1000).alias("b")).first()["b"] if batches > 1 else []
-    batch = reduce(lambda a, b: a + b, [(doc > F.lit(int(x))).cast("int") for x in sorted(set(bounds or []))], F.lit(0))
+    cuts = [i / batches for i in range(1, batches)]
+    bounds = sorted({int(x) for x in docs.agg(F.percentile_approx(doc, cuts, 1000).alias("b")).first()["b"] or []}) if cuts else []
+    batch = reduce(lambda a, b: a + b, [(doc > F.lit(x)).cast("int") for x in bounds], F.lit(0))
     split = docs.select(doc.alias("doc"), version.alias("version"), batch.alias("batch"), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
     keyed = split.select("doc", "version", "batch", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     base = shared_dir(spark)
     keyed.select("doc", "version", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "batch").write.partitionBy("batch").parquet(f"{base}/lines")
     lines = spark.read.schema("doc long, version long, pos int, h1 long, h2 long, batch int").parquet(f"{base}/lines")
     runs = LineRuns(spark, fan_in=fan_in)
-    for i in range(len(set(bounds or [])) + 1):
-        own = lines.where(F.col("batch") == i)
-        drops = runs.add(own.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")))
-        drops = materialize(drops)  # a plain table to join with, so that a line of very many documents can be split
-        gone = own.join(drops, ["h1", "h2"]).where("owner is null or doc > owner")
-        gone.select("doc", "version", "pos").write.mode("append").parquet(f"{base}/gone")
-        runs.compact()
-    runs.drop()
-    gone = spark.read.schema("doc long, version long, pos int").parquet(f"{base}/gone").groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version")).agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
+    try:
+        for i in range(len(bounds) + 1):
+            own = lines.where(F.col("batch") == i)
+            drops = runs.add(own.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")))
+            drops = materialize(drops)  # a plain table to join with, so that a line of very many documents can be split
+            dropped = own.join(drops, ["h1", "h2"]).where("owner is null or doc > owner")
+            dropped.select("doc", "version", "pos").write.mode("append").parquet(f"{base}/gone")
+            runs.compact()
+    finally:
+        runs.drop()
+    gone = spark.read.schema("doc long, version long, pos int").parquet(f"{base}/gone")
+    gone = gone.groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version")).agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
     joined = docs.withColumns({"__d": doc, "__v": version}).join(gone, (F.col("__d") == F.col("__doc")) & (F.col("__v") == F.col("__version")), "left")
     # the array of lines is bound once; array_except keeps the order and takes linear time
-    rebuilt = F.transform(F.array(_lines(F.col(text))), lambda a: F.concat_ws("\n", F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("__gone")), lambda i: F.get(a, i))))[0]
+    places = lambda a: F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("__gone"))
+    rebuilt = F.transform(F.array(_lines(F.col(text))), lambda a: F.concat_ws("\n", F.transform(places(a), lambda i: F.get(a, i))))[0]
     whole = F.coalesce(F.col(text), F.lit(""))
     n = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("__gone").isNull(), whole).otherwise(rebuilt).alias("kept_text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("__gone").isNull(), whole).otherwise(rebuilt).alias("kept_text"),
+        n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
