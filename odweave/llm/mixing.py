@@ -5,8 +5,13 @@ in closed form over the table of sources; each document is then taken floor(rate
 uniform number from the hash of its id and the seed lies below the rate's fraction. That needs no order and no
 state, so reruns and retried tasks agree.
 
+Each source has its own seed, of SEEDS candidates: the words that every candidate would take are added up in one
+aggregation, and the one nearest the target is used, the first if several
+are. So also a source of few documents, or one with a document that holds a large part of its words, comes as near
+its target as one of the candidates does.
+
 Contract: a null source is one source, sorted last; null texts have size 0; a source of size 0 has rate 0.
-Repeated rows draw alike. The result has the input's columns plus size, source_size, target, rate and copies; columns
+Repeated rows draw alike. The result has the input's columns plus size, source_size, target, rate, seed and copies; columns
 of the input with these names are replaced. An empty table gives an empty result.
 """
 
@@ -26,10 +31,26 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(id: Column, seed: str) -> Column:
-    """A number in [0, 1) from 52 bits of the hash of the id and the seed."""
-    digest = F.md5(F.concat(F.coalesce(id.cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
+#: Bits of the hash that make the uniform number, and candidate seeds a source.
+BITS, SEEDS = 52, 64
+
+
+def uniform(id: Column, salt: str, seed: Column) -> Column:
+    """A number in [0, 1) from two stretches of the id's hash: first + seed * second, of BITS bits each."""
+    digest = F.md5(F.concat(F.coalesce(id.cast("string"), F.lit("null")), F.lit(f":{salt}")).cast("binary"))
+    first, second = (F.conv(F.substring(digest, 1 + i * BITS // 4, BITS // 4), 16, 10).cast("long") for i in (0, 1))
+    return F.pmod(first + seed.cast("long") * second, F.lit(2**BITS)).cast("double") / F.lit(float(2**BITS))
+
+
+def best_seeds(sized: DataFrame, targets: DataFrame, *, id: str, source: str, salt: str) -> DataFrame:
+    """targets (source, source_size, target) with rate and the seed that comes nearest, over (id, source, size)."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rated = targets.select(F.col("source").alias("__source"), "source_size", "target", rate.alias("rate"))
+    joined = sized.join(rated, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__part", F.col("rate") - F.floor("rate"))
+    more = [F.sum(F.when(uniform(F.col(id), salt, F.lit(k)) < F.col("__part"), F.col("size")).otherwise(F.lit(0))) for k in range(SEEDS)]
+    summed = joined.groupBy("__source", "source_size", "target", "rate").agg(F.array(*more).alias("more"))
+    missed = F.transform("more", lambda x: F.abs((F.col("source_size") * F.floor("rate") + x).cast("double") - F.col("target")))
+    return summed.select("__source", "source_size", "target", "rate", (F.array_position(missed, F.array_min(missed)) - 1).cast("int").alias("seed"))
 
 
 def source_targets(sizes: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -50,15 +71,18 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[float] = (5, 2, 1), sh
     return level.withColumn("found", found["level"]).select("source", "source_size", F.least("cap", F.coalesce(F.col("found") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", **shares: object) -> DataFrame:
-    sized = docs.drop(*{"size", "source_size", "target", "rate", "copies"} - {id, text, source}).withColumn("size", word_count(F.col(text)))
-    by_source = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
-    # written first, so that its size is known: a small table is sent to the documents, else a hot source is split
-    targets = materialize(source_targets(by_source, **shares)).select(F.col("source").alias("__source"), "source_size", "target")
-    joined = sized.join(targets, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    once_more = (uniform(F.col(id), seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return joined.withColumn("rate", rate).withColumn("copies", F.floor("rate") + once_more)
+def mix_sources(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", salt: str = "mix", **shares: object) -> DataFrame:
+    made = {"size", "source_size", "target", "rate", "seed", "copies"} - {id, text, source}
+    sized = docs.drop(*made).withColumn("size", word_count(F.col(text)))
+    counted = materialize(sized.select(F.col(id).alias("__id"), F.col(source).alias("__of"), "size"))
+    by_source = counted.groupBy(F.col("__of").alias("source")).agg(F.sum("size").alias("source_size"))
+    # tables of one row a source are written, so that their size is known: a small one is sent to the documents, else
+    # a hot source is split
+    targets = materialize(source_targets(by_source, **shares))
+    seeds = materialize(best_seeds(counted, targets, id="__id", source="__of", salt=salt))
+    joined = sized.join(seeds, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
+    once_more = (uniform(F.col(id), salt, F.col("seed")) < F.col("rate") - F.floor("rate")).cast("long")
+    return joined.withColumn("copies", F.floor("rate") + once_more)
 
 
 def emit_copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -71,13 +95,17 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-OP10_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+ CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), 'null') || ':mix'), 1, 13) AS BIGINT) AS h, CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), 'null') || ':mix'), 14, 13) AS BIGINT) AS g FROM documents),
 s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, ([5.0, 2.0, 1.0])[(ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, CAST(source_size AS DOUBLE) * 2.0 AS cap FROM s),
 l AS (SELECT *, cap / w AS ratio, (CAST(SUM(source_size) OVER () AS DOUBLE) * 1.5 - COALESCE(SUM(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / SUM(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, LEAST(cap, COALESCE((SELECT MIN(level) FROM l x WHERE x.level <= x.ratio AND x.ratio = (SELECT MIN(ratio) FROM l y WHERE y.level <= y.ratio)) * w, cap)) AS target FROM l),
-r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, CAST(CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), 'null') || ':mix'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
- FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+r AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+c AS (SELECT r.source, target, k, SUM(size * (floor(rate) + CASE WHEN CAST((h + k * g) % {2**BITS} AS DOUBLE) / {2**BITS}.0 < rate - floor(rate) THEN 1 ELSE 0 END)) AS taken
+ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN range({SEEDS}) t(k) GROUP BY r.source, target, k),
+b AS (SELECT source, k FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY source ORDER BY abs(CAST(taken AS DOUBLE) - target), k) = 1)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN CAST((h + k * g) % {2**BITS} AS DOUBLE) / {2**BITS}.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
