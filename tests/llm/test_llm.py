@@ -259,6 +259,57 @@ def test_outliers_are_found(spark):
     assert d[0] > outliers.CUTOFF and max(v for k, v in d.items() if k) < outliers.CUTOFF
 
 
+def brute_mcd(x, starts=150, seed=1):
+    """Least log-determinant over many starts, each concentrated over all rows until it settles; and its mean."""
+    rng, n, best = np.random.default_rng(seed), len(x), (np.inf, None)
+    h = int(np.ceil(outliers.CORE * n))
+
+    def raised(c):
+        v, e = np.linalg.eigh(outliers.CONSISTENT * c / np.outer(outliers.FLOOR, outliers.FLOOR))
+        v = np.maximum(v, 1)
+        return (e * v) @ e.T * np.outer(outliers.FLOOR, outliers.FLOOR), np.log(v).sum()
+
+    for _ in range(starts):
+        own = rng.choice(n, min(n, 8), replace=False)
+        last = np.inf
+        while True:
+            mean, cov = x[own].mean(0), np.cov(x[own].T, bias=True) if len(own) > 1 else np.zeros((7, 7))
+            scatter, det = raised(cov)
+            det = det if len(own) == h else np.inf
+            if len(own) == h and det >= last - 1e-12:
+                break
+            last = det
+            gap = x - mean
+            own = np.argsort((gap @ np.linalg.inv(scatter) * gap).sum(1), kind="stable")[:h]
+        best = min(best, (last, mean.tolist()))
+    return best
+
+
+def test_determinants_are_least(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stats = docs.select("doc_id", "lang", "source", "text").mapInArrow(outliers._measure, outliers.STATS)
+    base = outliers.vectors(stats)
+    data = base.select(F.explode(F.array(*outliers.group_names())).alias("grp"), *outliers.NAMES).toPandas()
+    got = {r["grp"]: r for r in outliers.group_estimates(base).collect()}
+    assert set(got) == set(data["grp"])
+    for grp, own in data.groupby("grp"):
+        if len(own) > 25 or len(own) < 4:
+            det, _ = brute_mcd(own[outliers.NAMES].to_numpy(), 60)
+            assert got[grp]["logdet"] <= det + 0.05, (grp, len(own))
+
+
+def test_estimate_withstands_many_outliers(spark):
+    rng = np.random.default_rng(7)
+    clean, junk = rng.normal(0, 1, (700, 7)) * 0.3 + 5, rng.normal(0, 0.3, (300, 7)) + 9
+    rows = [("en", "s", *map(float, v)) for v in np.concatenate((clean, junk))]
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{c} double" for c in outliers.NAMES))
+    for how in ({}, {"sample": 50}):
+        r = next(r for r in outliers.group_estimates(df, **how).collect() if r["grp"].startswith("p"))
+        assert np.abs(np.array(r["mean"]) - 5).max() < 0.15
+    d2 = outliers.outlier_distances(df).toPandas()
+    assert (d2["d2"][d2[outliers.NAMES[0]] > 8] > outliers.CUTOFF).all() and (d2["d2"] > outliers.CUTOFF).sum() == 300
+
+
 def test_each_statistic_rejects_alone(spark):
     rnd = random.Random(6)
     vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(2000)]
