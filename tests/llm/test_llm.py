@@ -446,6 +446,30 @@ def water_fill(size):
             open_.discard(s)
 
 
+def test_classifier_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    out = quality.op7_quality_classifier(spark, sf).where("held_out").join(labels, "doc_id").select("predicted", "quality", "score").toPandas()
+    junk, clean = out[out["quality"] == 0], out[out["quality"] == 1]
+    assert len(junk) > 100 and (junk["predicted"] == 0).mean() >= 0.9 and (clean["predicted"] == 1).mean() >= 0.99
+    assert np.mean([(clean["score"] > x).mean() + (clean["score"] == x).mean() / 2 for x in junk["score"]]) > 0.995
+
+
+def test_scores_are_those_of_a_plain_average(corpus):
+    """The scorer's sums by prefix against a loop over each document's features, alone."""
+    rng = np.random.default_rng(3)
+    table, texts = rng.normal(size=2 * quality.BUCKETS).astype(np.float32), [r[1] or "" for r in corpus]
+    got = next(quality.scorer(table, 0.25)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])])))["score"].to_numpy()
+    for t, s in zip(texts, got, strict=True):
+        b = np.frombuffer(t.encode(), np.uint8)
+        all_ = np.concatenate([x for _, x in quality.features(b, np.array([0, len(b)]))] or [np.empty(0, np.int32)]) if len(b) else np.empty(0, np.int32)
+        w = np.where(all_ >= quality.BUCKETS, quality.PAIR, 1)
+        z = (table[all_].astype(float) * w).sum() / max(1, w.sum()) + 0.25
+        assert s == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+        n = len(WORD.findall(t))
+        assert (all_ >= quality.BUCKETS).sum() == max(0, n - 1)
+
+
 def brute_uniform(i, seed):
     digest = hashlib.md5(f"{'null' if i is None else i}:mix".encode()).hexdigest()
     return (int(digest[:13], 16) + seed * int(digest[13:26], 16)) % 2**52 / 2**52
