@@ -220,22 +220,63 @@ def test_secrets(docs, corpus, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
-def test_crf_learns_and_viterbi_is_best():
-    rng = np.random.default_rng(1)
-    words = "plain words of some text that go on".split()
-    data = secrets.made_up(rng, words, 300)
-    model = secrets.train([(secrets.emissions(c, 0.1, False), c.open, t) for c, t in data])
-    test = secrets.made_up(rng, words, 100)
-    right = sum(secrets.viterbi(model, secrets.emissions(c, 0.1, False), c.open) == t for c, t in test)
-    assert right >= 95
-    c, _ = test[0]
-    f = secrets.emissions(c, 0.1, False)[:5]
+@pytest.fixture(scope="module")
+def crf(spark):
+    return secrets.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_recall_on_formats_that_training_lacks(crf):
+    """Secrets planted in plain English, which the model has never seen, in formats it hasn't either."""
+    rng, emitter = np.random.default_rng(5), secrets.Emitter(crf)
+    many = secrets.LOW + secrets.UP + secrets.DIGITS
+    pick = lambda a, k: "".join(a[i] for i in rng.integers(0, len(a), k))
+    formats = {
+        "chat": lambda: f"xoxb-{pick(secrets.DIGITS, 12)}-{pick(secrets.DIGITS, 12)}-{pick(many, 24)}", "map": lambda: "AIza" + pick(many + "_-", 35), "mail": lambda: f"SG.{pick(many, 22)}.{pick(many, 43)}",
+        "registry": lambda: "npm_" + pick(many, 36), "forge": lambda: "glpat-" + pick(many, 20), "password": lambda: "hunter2pass", "phrase": lambda: pick(secrets.LOW, 25), "marks": lambda: "Tr0ub4dor&3",
+    }
+    leads = {**dict.fromkeys(formats, ["", "here it is ", "AUTH_KEY="]), **dict.fromkeys(["password", "phrase", "marks"], ["the password is ", "my pwd is "])}
+    found, tried = Counter(), Counter()
+    for name, make in formats.items():
+        for lead in leads[name]:
+            for _ in range(20):
+                x = make()
+                text = f"we said {lead}{x} and this is what we had to do on that day because it was raining"
+                a = text.index(x)
+                spans = secrets.model_spans(text, [], emitter)
+                found[name] += any(s <= a and a + len(x) <= e for s, e, _ in spans)
+                tried[name] += 1
+    assert all(found[n] >= 0.9 * tried[n] for n in formats), found
+    harmless = ["the password is required here and the token of my love was lost", "in 1984 we had 12345 of them at 10.5 km", "his secret garden and her secret", "call +1 (168) 555-5254 now"]
+    harmless += ["mail someone.68@mail2.example.com please", "https://www.example.com/a/b-c-d/12?x=1", "JavaScript and PostgreSQL with iPhone", "order AB-1234 of 2021-05-06", "plain words and nothing else at all"]
+    assert [t for t in harmless if secrets.model_spans(t, [], emitter)] == []
+
+
+def test_clean_documents_get_few_spans(spark, crf):
+    emitter, n = secrets.Emitter(crf), 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 100 < 50").collect():
+        n += len(secrets.model_spans(r["text"] or "", secrets.base_spans(r["text"] or ""), emitter))
+    assert n <= 5
+
+
+def test_viterbi_is_best_and_remembered_scores_are_right(crf):
     import itertools
 
-    e = secrets._scores(model, f, [True] * 5)
-    score = lambda p: model.first[p[0]] + sum(e[t, s] for t, s in enumerate(p)) + sum(model.moves[a, b] for a, b in zip(p, p[1:], strict=False))
-    best = max(itertools.product(range(3), repeat=5), key=score)
-    assert score(best) == pytest.approx(score(secrets.viterbi(model, f, [True] * 5)))
+    chain = secrets.chains("set password = a1b2c3d4e5 then = go")[0][0]
+    e, emitter = secrets._scores(crf, secrets.emissions(chain, 0.3, True)), secrets.Emitter(crf)
+    for _ in range(2):
+        assert np.allclose(emitter.scores(chain, 0.3, True), e, atol=1e-4)
+    some = e[:6]
+    score = lambda p: crf.first[p[0]] + sum(some[t, s] for t, s in enumerate(p)) + sum(crf.moves[a, b] for a, b in zip(p, p[1:], strict=False))
+    best = max(itertools.product(range(3), repeat=len(some)), key=score)
+    assert score(best) == pytest.approx(score(secrets.viterbi(crf, some.tolist())))
+
+
+def test_chains_cover_long_words_and_any_letters():
+    long_ = "x" * 50_000 + " y"
+    assert secrets.chains(long_)[0][0].words[0] == "x" * 50_000 and secrets.shape("ab12-C" * 1000).startswith("a0-A")
+    assert secrets.chains("") == ([], 0.0) and secrets.chains("plain words\nonly")[0] == []
+    chain = secrets.chains("İİ clé PASSWORD été ab.cd== x")[0][0]
+    assert chain.words == ["İİ", "clé", "PASSWORD", "été", "ab.cd==", "x"]
 
 
 def test_quality_rules(docs, corpus, empty):
