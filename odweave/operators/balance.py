@@ -5,11 +5,10 @@ from __future__ import annotations
 import warnings
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from odweave.session import reject_streaming
+from odweave.session import reject_streaming, shared_dir
 
 #: Added to a sum before it divides, so that a zero sum gives a finite factor.
 EPS = 1.0e-7
@@ -28,78 +27,103 @@ class Balanced(NamedTuple):
     iterations: int
 
 
-def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame, *, totals_to_use: str = "raise", max_iterations: int = 1000, rel_error: float = 1e-4, value: str = "value") -> Balanced:
+def _written(df: DataFrame) -> DataFrame:
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame, *, totals_to_use: str = "raise", max_iterations: int = 1000, rel_error: float = 1e-4, check_every: int = 1, value: str = "value") -> Balanced:
     """Iterative proportional fitting, row then column, over scaling vectors.
 
-    The matrix stays cached and unchanged; only the two vectors of zone length move, so the plan of an
-    iteration is one join and one aggregation whatever their number. `totals_to_use` says how unequal totals
-    are reconciled: raise, rows, columns or average. At most `max_iterations` passes are made; without
-    convergence a RuntimeWarning is given. An input that is balanced already comes back unchanged.
+    The matrix stays unchanged; only two vectors of zone length move, as tables: a pass is two joins and aggregations,
+    written to the shared folder, and one number comes back, the error. `check_every` passes are planned as one job,
+    and the error is looked at after each such job. `totals_to_use` says how unequal totals are reconciled: raise,
+    rows, columns or average. At most `max_iterations` passes are made; without convergence a RuntimeWarning is
+    given. An input that is balanced already comes back unchanged.
     """
     reject_streaming(matrix, "balance_2d")
-    spark = matrix.sparkSession
-    kinds = {a: matrix.schema[a].dataType for a in "od"}
-    a = {r["zone"]: float(r["total"] or 0) for r in row_totals.collect()}
-    b = {r["zone"]: float(r["total"] or 0) for r in col_totals.collect()}
-    sa, sb = sum(a.values()), sum(b.values())
     if totals_to_use not in ("raise", "rows", "columns", "average"):
         raise ValueError(totals_to_use)
+    goal = lambda df: df.select("zone", F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("goal"))
+    a, b = goal(row_totals), goal(col_totals)
+    sa, sb = (df.agg(F.coalesce(F.sum("goal"), F.lit(0.0))).first()[0] for df in (a, b))
     if abs(sa - sb) > 1e-8 + 1e-5 * abs(sb):
         if totals_to_use == "raise":
             raise ValueError(f"row totals ({sa}) and column totals ({sb}) differ")
-        goal = {"rows": sa, "columns": sb, "average": (sa + sb) / 2}[totals_to_use]
-        a = {k: v * goal / sa for k, v in a.items()}
-        b = {k: v * goal / sb for k, v in b.items()}
-    cells = matrix.select("o", "d", F.col(value).cast("double").alias("__m")).where("__m is not null and not isnan(__m)").cache()
-    if set(r[0] for r in cells.select("o").distinct().collect()) - a.keys() or set(r[0] for r in cells.select("d").distinct().collect()) - b.keys():
-        raise KeyError("a zone of the matrix has no total")
-
-    def vector(x: dict, axis: str) -> DataFrame:
-        return spark.createDataFrame(list(x.items()), T.StructType([T.StructField(axis, kinds[axis]), T.StructField("__v", T.DoubleType())]))
-
-    def product(x: dict, across: str, to: str) -> dict:
-        """Sum over `across` of m * x, by `to`."""
-        return {k: v for k, v in cells.join(vector(x, across), across).groupBy(to).agg(F.sum(F.col("__m") * F.col("__v"))).collect()}
-
-    r, c = dict.fromkeys(a, 1.0), dict.fromkeys(b, 1.0)
-
-    def error(rows: dict, cols: dict) -> float:
-        return sum(abs(v - r[k] * rows.get(k, 0.0)) for k, v in a.items()) + sum(abs(v - c[k] * cols.get(k, 0.0)) for k, v in b.items())
-
-    rows, cols = product(c, "d", "o"), product(r, "o", "d")
-    initial, err, i = error(rows, cols), 1.0, 0
-    if initial <= 1e-12 * (sum(a.values()) + sum(b.values())):  # only rounding is left
-        cells.unpersist()
+        both = {"rows": sa, "columns": sb, "average": (sa + sb) / 2}[totals_to_use]
+        a, b = a.withColumn("goal", F.col("goal") * F.lit(both / sa)), b.withColumn("goal", F.col("goal") * F.lit(both / sb))
+    cells = matrix.select("o", "d", F.col(value).cast("double").alias("m")).where("m is not null and not isnan(m)")
+    cells = _written(cells)
+    a, b = _written(a), _written(b)
+    for axis, totals in (("o", a), ("d", b)):
+        if cells.select(F.col(axis).alias("zone")).distinct().join(totals, "zone", "left_anti").limit(1).count():
+            raise KeyError("a zone of the matrix has no total")
+
+    def scaled_sums(x: DataFrame, across: str, to: str, totals: DataFrame) -> DataFrame:
+        """(zone, goal, sum of m * x over `across`) for each zone of totals; zones without cells have 0."""
+        sums = cells.join(x.select(F.col("zone").alias(across), "x"), across).groupBy(F.col(to).alias("zone")).agg(F.sum(F.col("m") * F.col("x")).alias("sum"))
+        return totals.join(sums, "zone", "left").select("zone", "goal", F.coalesce("sum", F.lit(0.0)).alias("sum"))
+
+    def step(x: DataFrame, sums: DataFrame) -> DataFrame:
+        """The vector moved so that its zones meet their goals."""
+        return sums.join(x, "zone").select("zone", (F.col("x") * (F.col("goal") / (F.col("x") * F.col("sum") + F.lit(EPS)))).alias("x"))
+
+    def error(x: DataFrame, sums: DataFrame) -> DataFrame:
+        return sums.join(x, "zone").select(F.abs(F.col("goal") - F.col("x") * F.col("sum")).alias("gap"))
+
+    def total_error(rows: DataFrame, cols: DataFrame) -> float:
+        return error(r, rows).union(error(c, cols)).agg(F.coalesce(F.sum("gap"), F.lit(0.0))).first()[0]
+
+    r, c = (t.select("zone", F.lit(1.0).alias("x")) for t in (a, b))
+    rows, cols = _written(scaled_sums(c, "d", "o", a)), _written(scaled_sums(r, "o", "d", b))
+    initial, err, i = total_error(rows, cols), 1.0, 0
+    if initial <= 1e-12 * (sa + sb):  # only rounding is left
         return Balanced(matrix.select("o", "d", F.col(value).cast("double").alias(value)), 0.0, 0)
     while err > rel_error:
         if i >= max_iterations:
             warnings.warn(f"no convergence after {i} iterations: relative error {err:g}", RuntimeWarning, stacklevel=2)
             break
-        r = {k: r[k] * (v / (r[k] * rows.get(k, 0.0) + EPS)) for k, v in a.items()}
-        cols = product(r, "o", "d")
-        c = {k: c[k] * (v / (c[k] * cols.get(k, 0.0) + EPS)) for k, v in b.items()}
-        rows = product(c, "d", "o")
-        err, i = error(rows, cols) / initial, i + 1
-    out = matrix.select("o", "d", F.col(value).cast("double").alias("__m")).join(vector(r, "o").withColumnRenamed("__v", "__r"), "o").join(vector(c, "d").withColumnRenamed("__v", "__c"), "d")
-    cells.unpersist()
-    return Balanced(out.select("o", "d", (F.col("__m") * F.col("__r") * F.col("__c")).alias(value)), err if i else 1.0, i)
-
-
-def bucket_round(df: DataFrame, *, decimals: int = 0, block: str = "o", order: tuple[str, ...] = ("d",), value: str = "value", scale: int = 9) -> DataFrame:
+        for k in range(n := min(check_every, max_iterations - i)):
+            r = step(r, rows)
+            cols = scaled_sums(r, "o", "d", b)
+            if k == n - 1:
+                r, cols = _written(r), _written(cols)
+            c = step(c, cols)
+            rows = scaled_sums(c, "d", "o", a)
+        c, rows = _written(c), _written(rows)
+        err, i = total_error(rows, cols) / initial, i + n
+    out = matrix.select("o", "d", F.col(value).cast("double").alias("__m"))
+    for axis, x in (("o", r), ("d", c)):
+        out = out.join(x.select(F.col("zone").alias(axis), F.col("x").alias(f"__{axis}")), axis)
+    return Balanced(out.select("o", "d", (F.col("__m") * F.col("__o") * F.col("__d")).alias(value)), err if i else 1.0, i)
+
+
+def bucket_round(df: DataFrame, *, decimals: int = 0, block: str = "o", order: tuple[str, ...] = ("d",), value: str = "value", scale: int = 9, ranges: int = 64) -> DataFrame:
     """Rounds a sequence so that running totals stay within half a unit of the exact ones.
 
-    The sequence runs by `block`, then by `order`. Running sums are exact decimals: a window inside each block
-    plus the prefix of the blocks' totals, so no task sees more than one block's cells. decimals <= 0 gives int.
+    The sequence runs by `block`, then by `order`. Running sums are exact decimals: a window inside each block plus
+    what lies before the block. That prefix is found in two levels, so that no task sees all blocks: blocks are dealt
+    to `ranges` ranges by approximate quantiles, a window in each range adds up its blocks, and only the ranges' own
+    totals, `ranges` rows at most, are added up in one task. decimals <= 0 gives int.
     """
-    from pyspark.sql import Window
-
     reject_streaming(df, "bucket_round")
     kind = f"decimal(38,{scale})"
+    zero = F.lit(0).cast(kind)
     exact = df.withColumn("__x", F.col(value).cast(kind))
     within = Window.partitionBy(block).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    starts = exact.groupBy(block).agg(F.sum("__x").cast(kind).alias("__t")).select(block, F.coalesce(F.sum("__t").over(before).cast(kind), F.lit(0).cast(kind)).alias("__s"))
-    summed = exact.withColumn("__w", F.sum(F.coalesce(F.col("__x"), F.lit(0).cast(kind))).over(within).cast(kind)).join(starts, block)
+    starts = _prefixes(exact.groupBy(block).agg(F.coalesce(F.sum("__x").cast(kind), zero).alias("__t")), block, kind, ranges)
+    summed = exact.withColumn("__w", F.sum(F.coalesce(F.col("__x"), zero)).over(within).cast(kind)).join(starts, F.col(block).eqNullSafe(F.col("__block"))).drop("__block")
     upto = (F.col("__s") + F.col("__w")).cast(kind)
-    rounded = F.bround(upto, decimals) - F.bround((upto - F.coalesce(F.col("__x"), F.lit(0).cast(kind))).cast(kind), decimals)
+    rounded = F.bround(upto, decimals) - F.bround((upto - F.coalesce(F.col("__x"), zero)).cast(kind), decimals)
     return summed.withColumn(value, rounded.cast("int") if decimals <= 0 else rounded.cast("double")).drop("__x", "__w", "__s")
+
+
+def _prefixes(totals: DataFrame, block: str, kind: str, ranges: int) -> DataFrame:
+    """(__block, __s): the sum of __t over all blocks before each, nulls first."""
+    before = lambda w: F.coalesce(F.sum("__t").over(w.rowsBetween(Window.unboundedPreceding, -1)).cast(kind), F.lit(0).cast(kind))
+    # written with their range's number, which so stays the same in both uses
+    dealt = _written(totals.repartitionByRange(ranges, block).select(F.col(block).alias("__block"), "__t", F.spark_partition_id().alias("__p")))
+    by_range = dealt.groupBy("__p").agg(F.sum("__t").cast(kind).alias("__t")).select("__p", before(Window.orderBy("__p")).alias("__r"))
+    inside = dealt.select("__block", "__p", before(Window.partitionBy("__p").orderBy("__block")).alias("__i"))
+    return inside.join(by_range, "__p").select("__block", (F.col("__r") + F.col("__i")).cast(kind).alias("__s"))
