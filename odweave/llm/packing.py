@@ -8,7 +8,7 @@ rank, number of pieces, first sequence, offset) rows; a piece finds its row by i
 pieces of that length. Ranks come from counts of (length, salt), so no length, however common, meets in one task.
 
 Contract: a null text is empty and gives the end token alone. Repeated rows are pieces like others. Only
-documents longer than `capacity` are cut. An empty table gives an empty result.
+documents longer than `capacity` are cut. Extra columns don't pass. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ END = 1
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Words kept encoded at a time.
 CACHE_WORDS = 600_000
+#: Pieces of one length that one task ranks.
+SALT_ROWS = 50_000
 
 
 class WordEncoder:
@@ -70,8 +72,10 @@ class WordEncoder:
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             matches = np.cumsum([len(self.SPLIT.findall(w)) for w in part])
-            if len(last) != matches[-1]:
-                raise AssertionError("the tokenizer splits words in another way")
+            if len(last) != matches[-1]:  # some word is split in another way: each by itself, as the tokenizer does it
+                for w in part:
+                    self.cache[w] = self.whole(w)
+                continue
             at = np.concatenate(([0], last))[np.concatenate(([0], matches))] * 4
             raw = ids.tobytes()
             for i, w in enumerate(part):
@@ -240,16 +244,16 @@ def placer(rows: np.ndarray):  # noqa: ANN201
     return place
 
 
-def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
+def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Adds sequence_id and offset to (doc_id, piece, start, length, ids_crc32)."""
-    spark = pieces.sparkSession
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = pieces.withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32), {salts})").cast("int"))
-    by_salt = salted.groupBy("length", "salt").count()
     counts = np.zeros(capacity + 1, np.int64)
-    for length, n in by_salt.groupBy("length").agg(F.sum("count")).collect():  # capacity rows at most
+    for length, n in pieces.groupBy("length").count().collect():  # capacity rows at most
         counts[length] = n
     rows = plan_rows(plan(counts, capacity))
+    # a length is dealt to as many salts as its count asks for, by a table of `capacity` numbers in the plan
+    salts = F.element_at(F.array(*[F.lit(max(1, -(-int(n) // salt_rows))) for n in counts]), F.col("length") + 1)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts).cast("int"))
+    by_salt = salted.groupBy("length", "salt").count()
     before = by_salt.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("rank", rank.cast("long")).join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))

@@ -429,6 +429,22 @@ def test_packing(docs, corpus, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_ranks_under_many_salts(spark):
+    pieces = spark.createDataFrame([(i, 0, 0, 8 if i % 3 else 3, i) for i in range(500)], packing.PIECES)
+    out = packing.pack_pieces(pieces, capacity=16, salt_rows=7).collect()
+    held = defaultdict(list)
+    for r in out:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(out) == 500 and all(sorted(a for a, _ in p) == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] and sum(n for _, n in p) <= 16 for p in held.values())
+
+
+def test_words_that_the_tokenizer_splits_in_another_way():
+    enc = packing.WordEncoder(packing.default_tokenizer())
+    enc.SPLIT = re.compile(r"\w")  # a rule that disagrees with the tokenizer
+    texts = ["some plain words, here", "others"]
+    assert enc.encode(texts) == [enc.whole(t) for t in texts]
+
+
 def test_plan_uses_every_piece():
     for seed in range(30):
         rng = np.random.default_rng(seed)
