@@ -2,33 +2,44 @@
 
 A signature is a common word (an antecedent) with the chain of content words that follow it. The set of a text's
 signatures, as sorted 32-bit hashes in hexadecimal, is its fingerprint; likeness is the Jaccard coefficient of
-two sets. Texts without a common word use every word as an antecedent, so only a text without words has an
-empty fingerprint; two empty ones are alike (1.0), an empty and another are not (0.0).
-
-`near_duplicates` joins documents whose sets (of 64-bit hashes there) have a likeness of 0.8 or more. Sets that share
-none of their rarest signatures can't reach it, which leaves blocks (see jaccard_join). In a block, sets are partitioned
-by length: those of partitions two or more apart never meet, nor those that hang together already, and within reach a
-comparison ends once the bound on what may still be common is too low.
-
-Contract: null texts are empty. Documents follow each other in descending id, null ids last, repeated ids by
-text; the first follows the last. In the join a text without words links with nothing, rows of one id count as
-linked and a null id as largest; a repeated row is repeated in the result. Extra columns don't pass. An empty table
+two sets. Texts without a common word use every word as an antecedent, and texts without words their runs of other
+marks as words, so only a blank text has an empty fingerprint; two empty ones are alike (1.0), an empty and another are
+not (0.0).
+
+`near_duplicates` joins documents whose fingerprints have a likeness of 0.8 or more. No text is shuffled for it:
+
+1. One pass gives each document's set size and set hash; documents of one hash are a class. Each task adds a sketch of
+   how often signatures occur, 2**SKETCH_BITS counters, which added up put all signatures in one order, rarest first.
+2. Two sets at the threshold share one of the first |x| - ceil(t |x|) + 1 of each in that order (any order would do;
+   this one keeps common signatures out). A pass gives these with their class; those with one least class are a
+   block (as in jaccard_join), and each class goes once to each of its blocks.
+3. A block's sets are partitioned by length: those of partitions two or more apart never meet, nor those that hang
+   together already, and within reach a comparison ends once the bound on what may still be common is too low.
+
+`fingerprint_in_order` lets each document meet the next one: text is shuffled once, compressed, into ranges of ids that
+a task reads in order, whatever their size. Each document's component travels in the same shuffle.
+
+Contract: null texts are empty. Documents follow each other in descending id, null ids last, repeated ids by descending
+hash of the text; the first follows the last. In the join a blank text links with nothing, and a null id counts as
+largest; rows of one id are told apart; a repeated row is repeated in the result. Extra columns don't pass. An empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odweave.llm.common import LOWER, U64, Hasher, group_count, mix, steps, total_bytes
-from odweave.llm.jaccard_join import BLOCK, BOTTOM, TOP, Union, ranked, set_components
+from odweave.llm.common import LOWER, SEPARATOR, U64, Hasher, group_count, materialize, mix, steps, total_bytes
+from odweave.llm.graphs import connected_components
+from odweave.llm.jaccard_join import BLOCK, BOTTOM, EDGE, LAST, TOP, Union, _link_block, link_large_blocks, ranked, set_hashes
 
 #: Common words of English, French, German and Spanish.
 COMMON = """a an and are as at be been but by for from had has have he her his if in into is it its not of on or she so that the their them then there they this to was we were which who will with you
@@ -36,6 +47,8 @@ au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais n
 aber als am an auch auf aus bei bin bis das dass dem den der des die durch ein eine einem einen einer er es für hat ich im ist mit nach nicht noch nur oder sich sie sind über um und von vor war wie wir zu zum zur
 al como con cuando de del desde el ella en entre era es esta este fue ha hay la las lo los más me mi muy no nos o para pero por que se si sin sobre su sus también un una y ya"""
 CHAIN, DISTANCE = 2, 1
+#: Counters of the sketch of signatures, and ranges of ids at most.
+SKETCH_BITS, MAX_RANGES = 16, 20_000
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _HASHER = Hasher(23)
@@ -65,31 +78,38 @@ def signatures(texts: list[bytes], *, chain: int = CHAIN, distance: int = DISTAN
 
 
 def signature_sets(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(index, sorted distinct 64-bit signatures) of each text."""
+    """(index, sorted distinct 32-bit signatures) of each text."""
     for i, data, offsets in steps(texts):
         owner, sig = spots(data, offsets)
-        order = np.argsort(owner, kind="stable")
-        owner, sig = owner[order], sig[order]
-        edges = np.searchsorted(owner, np.arange(len(offsets)))
+        key = np.unique(owner.astype(U64) << U64(32) | sig >> U64(32))
+        edges = np.searchsorted(key, np.arange(len(offsets), dtype=U64) << U64(32))
         for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-            yield i + k, np.unique(sig[a:b])
+            yield i + k, key[a:b] & U64(0xFFFFFFFF)
 
 
-def spots(data: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, 64-bit signature) of every antecedent with its chain."""
-    n_texts = len(offsets) - 1
-    if not len(data):
-        return np.empty(0, np.int64), np.empty(0, U64)
-    gap = NOT_WORD[data]
-    edge = np.empty(len(data) + 1, bool)
+def _runs(gap: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs between gaps; none crosses a text's end."""
+    edge = np.empty(len(gap) + 1, bool)
     edge[0], edge[1:] = True, gap
     edge[offsets] = True
     starts = np.flatnonzero(~gap & edge[:-1])
     edge[-1], edge[:-1] = True, gap
     edge[offsets] = True
-    ends = np.flatnonzero(~gap & edge[1:]) + 1
-    h = _hash_words(data, starts, ends)
+    return starts, np.flatnonzero(~gap & edge[1:]) + 1
+
+
+def spots(data: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, 64-bit signature) of every antecedent with its chain."""
+    n_texts = len(offsets) - 1
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, U64)
+    starts, ends = _runs(NOT_WORD[data], offsets)
     doc = np.searchsorted(offsets, starts, "right") - 1
+    wordless = np.bincount(doc, minlength=n_texts) == 0
+    if wordless.any():
+        starts, ends = _runs(np.where(np.repeat(wordless, np.diff(offsets)), SEPARATOR[data], NOT_WORD[data]), offsets)
+        doc = np.searchsorted(offsets, starts, "right") - 1
+    h = _hash_words(data, starts, ends)
     at = np.searchsorted(_COMMON, h)
     at[at == len(_COMMON)] = 0
     common = _COMMON[at] == h
@@ -209,78 +229,237 @@ def link_by_length(labels: list[int], sizes: list[int], blobs: list[bytes], prob
     return found
 
 
+def _link(labels: list[int], sizes: list[int], blobs: list[bytes], probes: int = 0) -> list[tuple[int, int]]:
+    return link_by_length(labels, sizes, [np.frombuffer(b, "<u4").astype(U64).tobytes() for b in blobs], probes)
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h, n, s1) of each document, and one row with the task's sketch."""
+    counts = np.zeros(1 << SKETCH_BITS, U64)
+    names = ["doc_id", "h", "n", "s1", "sketch"]
+    for batch in batches:
+        n, s1 = [], []
+        for _, s in signature_sets(batch["text"]):
+            n.append(len(s))
+            s1.append(set_hashes(s)[0])
+            np.add.at(counts, (s >> U64(32 - SKETCH_BITS)).astype(np.int64), U64(1))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.nulls(len(n), pa.binary())], names=names)
+    one = [pa.nulls(1, pa.int64())] * 4
+    yield pa.RecordBatch.from_arrays([*one, pa.array([_pack(counts)], pa.binary())], names=names)
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SKETCH_BITS, U64)
+    for batch in batches:
+        for one in batch["sketch"].to_pylist():
+            total += np.frombuffer(zlib.decompress(one), U64)
+    yield pa.RecordBatch.from_arrays([pa.array([_pack(total)], pa.binary())], names=["sketch"])
+
+
+def _rarest(counts: np.ndarray):  # noqa: ANN202
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(label, token): of each set the first ones, of which a partner shares one."""
+        for batch in batches:
+            labels, tokens = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for _, s in signature_sets(batch["text"]):
+                if len(s):
+                    room = len(s) - -(-TOP * len(s) // BOTTOM) + 1
+                    first = s[np.lexsort((s, counts[(s >> U64(32 - SKETCH_BITS)).astype(np.int64)]))[:room]]
+                    labels.append(np.full(room, set_hashes(s)[0], np.int64))
+                    tokens.append(first.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(labels)), pa.array(np.concatenate(tokens))], names=["label", "token"])
+
+    return rarest
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(set_hashes(s)[0], len(s), s.astype("<u4").tobytes()) for _, s in signature_sets(batch["text"])]
+        label, size, blob = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(label, pa.int64()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())], names=["doc_id", "h", "label", "size", "blob"])
+
+
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(doc_id, h, text): a null id as the largest number, a null text empty; h tells texts of one id apart."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(whole).alias("h"), whole.alias("text"))
+
+
+def described_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """A written table (doc_id, h, n, component) for every row; doc_id and component may be LAST, for null."""
+    keyed = _keyed(docs, id, text)
+    all_ = materialize(keyed.mapInArrow(_describe, "doc_id long, h long, n long, s1 long, sketch binary"))
+    rows = all_.where("sketch is null").drop("sketch")
+    sketches = all_.where("sketch is not null").select("sketch").mapInArrow(_add_sketches, "sketch binary")
+    sketch = sketches.repartition(1).mapInArrow(_add_sketches, "sketch binary").first()[0]  # one row of bounded size
+    counts = np.frombuffer(zlib.decompress(sketch), U64)
+    classes = materialize(rows.where("n > 0").groupBy("s1").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("s1", "first.*"))
+    posted = keyed.select("text").mapInArrow(_rarest(counts), "label long, token long")
+    least = posted.groupBy("token").agg(F.min("label").alias("block"), F.max("label").alias("most")).where("block < most").drop("most")
+    dealt = materialize(posted.join(least, "token").select("label", "block").distinct())
+    counted = materialize(dealt.groupBy("block").agg(F.count("*").alias("k")).where("k > 1"))
+    # a class's set comes from its first document; tables that meet the sets are written, so that their size is known
+    wanted = materialize(classes.withColumnRenamed("s1", "label").join(dealt.join(counted, "block", "left_semi").select("label").distinct(), "label", "left_semi"))
+    sets = keyed.mapInArrow(_sets, "doc_id long, h long, label long, size long, blob binary").join(wanted, ["label", "doc_id", "h"], "left_semi")
+    placed = materialize(sets.join(dealt.join(counted, "block"), "label").select("block", F.col("k").alias("n"), "label", "size", "blob"))
+    links = placed.where(F.col("n") <= block).groupBy("block").applyInArrow(_link_block(_link), EDGE)
+    if counted.where(F.col("k") > block).limit(1).count():
+        links = links.union(link_large_blocks(placed.where(F.col("n") > block), block, _link))
+    roots = connected_components(links).select(F.col("id").alias("s1"), "root")
+    known = classes.join(roots, "s1").select("s1", "root", "doc_id")
+    heads = known.join(known.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("s1", "component")
+    named = materialize(classes.join(heads, "s1", "left").select("s1", F.coalesce("component", "doc_id").alias("component")))
+    return materialize(rows.join(named, "s1", "left").select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component")))
+
+
+def _real(c: str) -> Column:
+    return F.when(F.col(c) != LAST, F.col(c)).alias(c)
+
+
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_signatures, component_id) for every row: the least id reachable by links, its own included."""
-    return set_components(docs, signature_sets, link_by_length, id=id, text=text, block=block).withColumnRenamed("n_shingles", "n_signatures")
+    out = described_components(docs, id=id, text=text, block=block)
+    return out.select(_real("doc_id"), F.col("n").alias("n_signatures"), _real("component").alias("component_id"))
 
 
 # --- the documents in their order -----------------------------------------------------------------------------
 
+#: Sort keys: range, whether the row only ends its range, descending id and text hash, and what the row is (0: a
+#: document's component, 1: its text).
+DEALT = "b int, extra boolean, i long, h long, kind int, z binary, n long, component long"
+
+
+class Ranges:
+    """Ranges of (id, text hash), descending, null ids last.
+
+    Cuts are quantiles of ids. A quantile that several cuts agree on is an id of many rows: these are cut at equal
+    steps of the hash.
+    """
+
+    def __init__(self, cuts: list[int]):
+        self.cuts = np.array(sorted(cuts), np.int64)
+
+    def of(self, i: np.ndarray, h: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.cuts, i, "left"), np.searchsorted(self.cuts, i, "right")
+        share = (h.astype(np.float64) + 2.0**63) / 2.0**64
+        within = np.minimum((share * (hi - lo + 1)).astype(np.int64), hi - lo)
+        return (len(self.cuts) - (lo + within)).astype(np.int32)
+
+
+def _order_id(ids: pa.Array) -> np.ndarray:
+    """Ids as the order sees them: LAST, which stands for null, is the least."""
+    i = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.where(i == LAST, -(2**63), i)
+
+
+def _dealt(cols: list) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in DEALT.split(", ")])
+
+
+def _deal_texts(ranges: Ranges, heads: dict[tuple[int, int], int]):  # noqa: ANN202
+    """Each text, compressed, in its range; the first of a range also in the range before, to end it."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(1)
+        for batch in batches:
+            i, h = _order_id(batch["doc_id"]), batch["h"].to_numpy()
+            b = ranges.of(i, h).tolist()
+            i, h = i.tolist(), h.tolist()
+            z = [squeeze.compress(t.encode()) for t in batch["text"].to_pylist()]
+            extra = [False] * len(b)
+            for k in range(len(i)):
+                if (target := heads.get((i[k], h[k]))) is not None:
+                    for col, x in ((b, target), (extra, True), (i, i[k]), (h, h[k]), (z, z[k])):
+                        col.append(x)
+            yield _dealt([b, extra, i, h, [1] * len(b), z, [None] * len(b), [None] * len(b)])
+
+    return deal
+
+
+def _deal_components(ranges: Ranges):  # noqa: ANN202
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, m = _order_id(batch["doc_id"]), batch.num_rows
+            yield _dealt([ranges.of(i, batch["h"].to_numpy()), [False] * m, i, batch["h"], [0] * m, [None] * m, batch["n"], batch["component"]])
+
+    return deal
+
+
+def _real_ids(ids: list[int], null: int) -> pa.Array:
+    return pa.array([None if x == null else x for x in ids], pa.int64())
+
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (b, rank, doc_id, text, extra) in order: each document with the next one, an extra row ending a bucket."""
-    held: list[tuple[int, object, str, bool]] = []
-
-    def work(rows: list[tuple[int, object, str, bool]], last: bool) -> pa.RecordBatch:
-        own, edited = [r[2].encode() for r in rows], []
-        for i, r in enumerate(rows[:-1]):
-            half = len(r[2]) // 2
-            edited.append((r[2][: len(r[2]) - half] + rows[i + 1][2][:half]).encode())
-        n = len(edited)
-        keys, edge = signatures(own + edited)
-        part = [keys[edge[i] : edge[i + 1]] & U64(0xFFFFFFFF) for i in range(len(edge) - 1)]
-        m = len(rows)
-        use = [i for i in range(n) if not rows[i][3] and rows[i][0] == rows[i + 1][0]]
+    """Rows of DEALT in order: each document with the next one, an extra row ending a range."""
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor()
+    held: list[tuple[int, bool, int, str, int, int]] = []  # range, extra, id, text, signatures, component
+
+    def work(rows: list[tuple[int, bool, int, str, int, int]]) -> pa.RecordBatch:
+        edited = []
+        for r, after in zip(rows, rows[1:], strict=False):
+            half = len(r[3]) // 2
+            edited.append((r[3][: len(r[3]) - half] + after[3][:half]).encode())
+        keys, edge = signatures([r[3].encode() for r in rows] + edited)
+        part, m = [keys[edge[i] : edge[i + 1]] & U64(0xFFFFFFFF) for i in range(len(edge) - 1)], len(rows)
+        use = [i for i in range(m - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
         cols = [
-            pa.array([rows[i][1] for i in use], pa.int64()), pa.array([len(rows[i][2]) for i in use], pa.int64()), pa.array([hashlib.sha256(edited[i]).hexdigest() for i in use], pa.string()),
+            _real_ids([rows[i][2] for i in use], -(2**63)), pa.array([len(rows[i][3]) for i in use], pa.int64()), pa.array([hashlib.sha256(edited[i]).hexdigest() for i in use], pa.string()),
             pa.array([fingerprint(part[i]) for i in use], pa.string()), pa.array([fingerprint(part[m + i]) for i in use], pa.string()),
             pa.array([jaccard(part[i], part[m + i]) for i in use], pa.float64()), pa.array([jaccard(part[i], part[i + 1]) for i in use], pa.float64()),
+            pa.array([rows[i][4] for i in use], pa.int64()), _real_ids([rows[i][5] for i in use], LAST),
         ]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in OUT.split(", ")])
 
-    size = 0
+    size, info = 0, (0, LAST)
     for batch in batches:
-        for row in zip(batch["b"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["extra"].to_pylist(), strict=True):
-            held.append(row)
-            size += len(row[2])
+        for b, extra, i, kind, z, n, component in zip(*[batch[c].to_pylist() for c in ("b", "extra", "i", "kind", "z", "n", "component")], strict=True):
+            if kind == 0:
+                info = (n, component)
+                continue
+            held.append((b, extra, i, open_.decompress(z).decode(), *info))
+            size += len(held[-1][3])
             if size > 400_000 and len(held) > 1:
-                yield work(held, False)
-                held, size = held[-1:], len(held[-1][2])
+                yield work(held)
+                held, size = held[-1:], len(held[-1][3])
     if len(held) > 1:
-        yield work(held, True)
+        yield work(held)
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, component_id long"
 
 
-def fingerprint_in_order(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document.
+def fingerprint_in_order(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block: int = BLOCK, max_ranges: int = MAX_RANGES) -> DataFrame:
+    """Each document's fingerprint, that of its edited text, its likeness to that and to the next document, and the
+    component of near duplicates that it belongs to.
 
-    Ids are cut into ranges by quantiles, about one a group of bytes; each range is a task's, in order. What
-    follows the last document of a range is the first of the next range: those few rows, one a range, are found
-    by a small aggregation and sent along, so text is shuffled once and no task sees all documents.
+    Ids are cut into ranges by quantiles, about one a group of bytes and at most `max_ranges`, as a range is read in
+    order and never held; their cuts and first documents (`max_ranges` numbers each) go with the tasks. What follows
+    the last document of a range is the first of the next one, which is sent to both.
     """
     spark = docs.sparkSession
-    n = group_count(total_bytes(docs, text), 8 << 20)
-    base = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cut = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20_000).alias("c")).first()["c"]
-    cuts = sorted(set(cut or []))
-    edges = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else None
-    # range 0 holds the largest ids; null ids come last
-    above = F.size(F.filter(edges, lambda e: e >= F.col("doc_id"))) if cuts else F.lit(0)
-    ranged = base.withColumn("b", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(above).cast("int"))
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("i"), F.xxhash64("text").alias("h"))
-    firsts = {r["b"]: (r["m"]["i"], r["m"]["h"]) for r in ranged.groupBy("b").agg(F.max(order).alias("m")).collect()}  # one row a range
-    present = sorted(firsts)
-    before = {b: present[i - 1] for i, b in enumerate(present)}  # where the first of b also goes; that of the first range to the last
-    if not present:
+    known = described_components(docs, id=id, text=text, block=block)
+    n = min(group_count(total_bytes(docs, text), 8 << 20), max_ranges)
+    place = F.when(F.col("doc_id") == LAST, F.lit(-(2**63))).otherwise(F.col("doc_id"))
+    cuts = known.agg(F.percentile_approx(place, [i / n for i in range(1, n)], 4 * max_ranges).alias("c")).first()["c"]
+    if not cuts:
         return spark.createDataFrame([], OUT)
-    heads = spark.createDataFrame([(b, before[b], *firsts[b]) for b in present], "hb int, target int, hi long, hh long")
-    marked = ranged.withColumns({"i": order["i"], "h": order["h"]}).join(F.broadcast(heads), (F.col("b") == F.col("hb")) & (F.col("i") == F.col("hi")) & (F.col("h") == F.col("hh")), "left")
-    # a repeated first row goes along more than once; only the first copy is used
-    both = marked.select(F.explode(F.when(F.col("target").isNull(), F.array(F.struct(F.col("b"), F.lit(False).alias("extra")))).otherwise(F.array(F.struct(F.col("b"), F.lit(False).alias("extra")), F.struct(F.col("target").alias("b"), F.lit(True).alias("extra"))))).alias("p"), "doc_id", "i", "h", "text")
-    dealt = both.select("p.b", "p.extra", "doc_id", "i", "h", "text").repartition(max(2, len(present)), "b").sortWithinPartitions("b", "extra", F.col("i").desc(), F.col("h").desc())
-    return dealt.select("b", "doc_id", "text", "extra").mapInArrow(_compare, OUT)
+    ranges = Ranges([int(c) for c in cuts])
+    infos = known.mapInArrow(_deal_components(ranges), DEALT)
+    firsts = {r["b"]: (r["m"]["i"], r["m"]["h"]) for r in infos.groupBy("b").agg(F.max(F.struct("i", "h")).alias("m")).collect()}  # a row a range
+    present = sorted(firsts)
+    heads = {firsts[b]: present[k - 1] for k, b in enumerate(present)}  # the first of all ends the last range
+    texts = _keyed(docs, id, text).mapInArrow(_deal_texts(ranges, heads), DEALT)
+    dealt = texts.unionByName(infos.distinct()).repartition(len(present) + 1, "b").sortWithinPartitions("b", "extra", F.col("i").desc(), F.col("h").desc(), "kind")
+    return dealt.drop("h").mapInArrow(_compare, OUT)
 
 
 def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,19 +62,58 @@ def test_each_string_start_is_in_one_part(n, monkeypatch):
     assert sorted(starts) == list(range(n - 199))
 
 
-def test_spot_signatures(docs, corpus, empty):
-    out = {r["doc_id"]: r for r in spotsigs.fingerprint_in_order(docs).collect()}
-    order = sorted(distinct(corpus).items(), reverse=True)
+COMMON = set(spotsigs.COMMON.split())
+SPOT_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def brute_spots(text):
+    """Signatures as tuples of words, by loops."""
+    words = [w.lower().decode() for w in SPOT_WORD.findall((text or "").encode())]
+    words = words or [w.decode() for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
+    out = set()
+    for k, w in enumerate(words):
+        chain = [x for x in words[k + 1 :] if x not in COMMON][:2] if w in COMMON else []
+        if len(chain) == 2:
+            out.add((w, *chain))
+    if not out:
+        out = set(zip(words, words[1:], strict=False)) or {(w,) for w in words}
+    return out
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.fixture(scope="module")
+def spotted(spark, corpus):
+    """Rows (id, text) with null and repeated ids and texts of marks alone."""
+    more = [(None, "a text without id, of the kind that was here"), (None, "a text without id, of the kind that was here"), (None, "quite another one of them"), (None, None)]
+    more += [(5, "the second text of an id that is there twice"), (5, "and the third text of it"), (60, "### !!! ###"), (61, "$$$ %%%"), (62, "### !!! ###"), (63, "!"), (64, "the of and")]
+    return [(r[0], r[1]) for r in corpus] + more
+
+
+@pytest.mark.parametrize("ranges", [spotsigs.MAX_RANGES, 3])
+def test_spot_signatures(spark, spotted, empty, ranges, monkeypatch):
+    monkeypatch.setattr(spotsigs, "group_count", lambda n, size=0: 12)
+    df = spark.createDataFrame(spotted, "doc_id long, text string").repartition(3)
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(spotted, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    want = []
     for k, (i, t) in enumerate(order):
-        if i == corpus[12][0] or order[(k + 1) % len(order)][0] == corpus[12][0]:
-            continue  # repeated rows follow each other
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2
-        assert out[i]["n_chars"] == len(t) and out[i]["edited_sha256"] == sha((t[: len(t) - half] + nxt[:half]).encode())
-        assert 0 <= out[i]["near_edited"] <= 1 and 0 <= out[i]["near_next"] <= 1
-    assert out[52]["fingerprint"] == out[53]["fingerprint"] and out[53]["near_next"] == 1.0
-    assert out[1]["fingerprint"] == "" and out[2]["near_next"] == 1.0
-    assert spotsigs.fingerprint_in_order(docs).count() == len(corpus) and spotsigs.fingerprint_in_order(empty).count() == 0
+        edited = t[: len(t) - half] + nxt[:half]
+        own = brute_spots(t)
+        want.append((i, len(t), sha(edited.encode()), len(own), likeness(own, brute_spots(edited)), likeness(own, brute_spots(nxt))))
+    got = spotsigs.fingerprint_in_order(df, max_ranges=ranges).collect()
+    key = lambda r: str((r[0] is None, r[0], r[2]))
+    rows_ = sorted([(r["doc_id"], r["n_chars"], r["edited_sha256"], len(r["fingerprint"]) // 8, r["near_edited"], r["near_next"]) for r in got], key=key)
+    for x, y in zip(rows_, sorted(want, key=key), strict=True):
+        assert x[:4] == y[:4] and x[4] == pytest.approx(y[4]) and x[5] == pytest.approx(y[5])
+    by_text = {r["doc_id"]: r["fingerprint"] for r in got}
+    assert by_text[60] == by_text[62] != by_text[61] != "" and by_text[52] == by_text[53] and by_text[1] == by_text[3] == ""
+    if ranges > 3:
+        assert spotsigs.fingerprint_in_order(empty).count() == 0
 
 
 def test_pruned_jaccard():
@@ -96,16 +135,15 @@ def brute_components(ids, sets):
 
 
 @pytest.mark.parametrize("block", [4000, 2])
-def test_spot_join(docs, corpus, empty, block):
-    import pyarrow as pa
-
-    texts = sorted(distinct(corpus).items())
-    sets = [set(s.tolist()) for _, s in spotsigs.signature_sets(pa.array([t for _, t in texts]))]
-    roots = brute_components([i for i, _ in texts], sets)
-    want = {i: (len(s), texts[r][0]) for (i, _), s, r in zip(texts, sets, roots, strict=True)}
-    got = spotsigs.near_duplicates(docs, block=block).collect()
-    assert len(got) == len(corpus) and all((r["n_signatures"], r["component_id"]) == want[r["doc_id"]] for r in got)
-    assert len({c for _, c in want.values()}) < len(want) - 5
+def test_spot_join(spark, spotted, empty, block):
+    sets = [brute_spots(t) for _, t in spotted]
+    roots, least = brute_components(range(len(sets)), sets), {}
+    for (i, _), r in zip(spotted, roots, strict=True):
+        least[r] = min(least.get(r, 2**63 - 1), 2**63 - 1 if i is None else i)
+    want = Counter((i, len(s), None if least[r] == 2**63 - 1 else least[r]) if s else (i, 0, i) for (i, _), s, r in zip(spotted, sets, roots, strict=True))
+    df = spark.createDataFrame(spotted, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, spotsigs.near_duplicates(df, block=block).collect())) == want
+    assert len({c for _, _, c in want}) < len(want) - 5
     if block > 2:
         assert spotsigs.near_duplicates(empty).count() == 0
 
