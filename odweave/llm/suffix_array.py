@@ -17,6 +17,8 @@ no one suffix array, so the strings that could be equal are brought together fir
    that its strings reach. Equal segments of a group are one. A bucket sorts the segments of each core by what
    follows the core, by one suffix array over all of them: strings that reach as far right with the same bytes are
    then neighbours, and of those the ones with the same bytes on the left are equal.
+   A core that occurs more than HOT times, such as one at the edge of a passage that very many documents share, is
+   no bucket's work: of its strings each group sends distinct 96-bit hashes, which are dealt by their own value.
 3. Groups get back a bit for each string start and cut their documents.
 
 Contract: texts are UTF-8 bytes, null texts empty. Strings never cross documents. Repeated rows are documents.
@@ -41,6 +43,8 @@ PLACE_BITS = 24
 WIDTH = 34
 #: Symbols that one suffix array is built over at most, unless one core has more.
 BATCH_SYMBOLS = 30_000
+#: Occurrences of a core beyond which its strings are dealt one by one.
+HOT = 50_000
 _HASHER, _SECOND = Hasher(53), Hasher(59)
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -211,18 +215,25 @@ class Segments:
     from the core outward, the right bytes.
     """
 
-    def __init__(self, table: pa.Table, answers: pa.Table, bits: int, min_len: int, anchor: int):
+    def __init__(self, table: pa.Table, answers: pa.Table, bits: int, min_len: int, anchor: int, most: int):
         self.table = _in_order(table)
         keys, counts = received(answers, bits)
         bounds = classes(min_len, anchor)
         near, far = np.array([b[0] for b in bounds]), np.array([b[1] for b in bounds])
         self.width = int((far - near).max())
         self.places: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        singles: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # strings of hot cores
         records: dict[bytes, int] = {}
         times: list[int] = []
         for i, data, offsets, base in split_steps(self.table["text"], min_len):
             place, kind, lo, hi, core = pieces(data, offsets, min_len, anchor)
-            hot = np.flatnonzero(look_up(core, keys, counts, bits) > 1) if len(keys) and len(core) else np.empty(0, np.int64)
+            times_ = look_up(core, keys, counts, bits) if len(keys) and len(core) else np.ones(len(core), np.int64)
+            if (very := np.flatnonzero(times_ > most)).size:
+                size = hi[very] - lo[very] + 1
+                at = np.repeat(lo[very] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                second = _SECOND.spans(_SECOND.prefix(data), at, at + min_len) >> U64(32)
+                singles.append((i, at + base, _HASHER.spans(_HASHER.prefix(data), at, at + min_len), second.astype(np.uint32)))
+            hot = np.flatnonzero((times_ > 1) & (times_ <= most))
             if not len(hot):
                 continue
             place, kind, lo, hi, core = place[hot], kind[hot], lo[hot], hi[hot], core[hot]
@@ -245,17 +256,28 @@ class Segments:
         self.records, self.times = list(records), times
         first = np.array([int.from_bytes(r[:8], "little") for r in self.records], U64)
         self.order = np.argsort(first, kind="stable")
-        self.edges = np.append(np.searchsorted(first[self.order], np.arange(1 << bits, dtype=U64) << U64(64 - bits)), len(first))
-
-
-def _send_segments(bits: int, min_len: int, anchor: int):  # noqa: ANN202
+        edges = np.arange(1 << bits, dtype=U64) << U64(64 - bits)
+        self.edges = np.append(np.searchsorted(first[self.order], edges), len(first))
+        # strings of hot cores: (text, start, number of its hash) and distinct hashes with how often they are here
+        h, s = (np.concatenate([x[k] for x in singles]) if singles else np.empty(0, t) for k, t in ((2, U64), (3, np.uint32)))
+        by = np.lexsort((s, h))
+        new = np.concatenate(([True], (h[by][1:] != h[by][:-1]) | (s[by][1:] != s[by][:-1]))) if len(h) else np.empty(0, bool)
+        number = np.empty(len(h), np.int64)
+        number[by] = np.cumsum(new) - 1
+        cuts = np.cumsum([0] + [len(x[1]) for x in singles])
+        self.singles = [(x[0], x[1], number[a:b]) for x, a, b in zip(singles, cuts[:-1], cuts[1:], strict=True)]
+        self.h, self.s, self.held = h[by][new], s[by][new], np.bincount(number) if len(number) else number
+        self.h_edges = np.append(np.searchsorted(self.h, edges), len(self.h))
+
+
+def _send_segments(bits: int, min_len: int, anchor: int, most: int):  # noqa: ANN202
     def send(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
             return payloads([])
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(1)
-        s = Segments(table, answers, bits, min_len, anchor)
+        s = Segments(table, answers, bits, min_len, anchor, most)
         g, rows = key[0].as_py(), []
         for b in range(1 << bits):
             own = s.order[s.edges[b] : s.edges[b + 1]].tolist()
@@ -263,6 +285,9 @@ def _send_segments(bits: int, min_len: int, anchor: int):  # noqa: ANN202
                 # heads and bytes apart, as they compress unlike
                 head = b"".join(s.records[i][:19] + bytes((s.times[i] > 1,)) for i in own)
                 rows.append((b, g, len(own).to_bytes(4, "little") + squeeze.compress(head + b"".join(s.records[i][19:] for i in own))))
+            x, y = s.h_edges[b], s.h_edges[b + 1]
+            if y > x:
+                rows.append((b + (1 << bits), g, s.h[x:y].tobytes() + s.s[x:y].tobytes() + (s.held[x:y] > 1).astype(np.uint8).tobytes()))
         return payloads(rows)
 
     return send
@@ -345,11 +370,28 @@ def equal_strings(core: np.ndarray, reach: np.ndarray, lefts: np.ndarray, left:
     return mask
 
 
-def _find_equal(min_len: int, anchor: int):  # noqa: ANN202
+def equal_singles(table: pa.Table) -> pa.Table:
+    """A bucket's answer on strings of hot cores: a bit for each of a group's, set if it occurs twice or more in all."""
+    raw = table["payload"].to_pylist()
+    n = [len(p) // 13 for p in raw]
+    part = lambda kind, at: np.concatenate([np.frombuffer(p, kind, k, at * k) for p, k in zip(raw, n, strict=True)])
+    h, s, more = part(U64, 0), part(np.uint32, 8), part(np.uint8, 12)
+    by = np.lexsort((s, h))
+    same = (h[by][1:] == h[by][:-1]) & (s[by][1:] == s[by][:-1])
+    twice = more > 0
+    twice[by[1:][same]] = True
+    twice[by[:-1][same]] = True
+    ends = np.cumsum([0, *n])
+    return payloads([(b, g, np.packbits(twice[x:y]).tobytes()) for b, g, x, y in zip(table["bucket"].to_pylist(), table["g"].to_pylist(), ends[:-1], ends[1:], strict=True)])
+
+
+def _find_equal(bits: int, min_len: int, anchor: int):  # noqa: ANN202
     """A bucket's answer: for each segment of a group the mask of its repeated strings."""
     reach_of = np.array([b[1] - b[0] for b in classes(min_len, anchor)])
 
     def find(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() >= 1 << bits:
+            return equal_singles(table)
         import zstandard
 
         open_ = zstandard.ZstdDecompressor()
@@ -388,16 +430,22 @@ def _find_equal(min_len: int, anchor: int):  # noqa: ANN202
     return find
 
 
-def _cut(bits: int, min_len: int, anchor: int):  # noqa: ANN202
+def _cut(bits: int, min_len: int, anchor: int, most: int):  # noqa: ANN202
     def cut(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         second = np.array(answers["bucket"].to_pylist(), np.int64) >= (1 << bits)
-        s = Segments(table, answers.filter(pa.array(~second)), bits, min_len, anchor)
+        s = Segments(table, answers.filter(pa.array(~second)), bits, min_len, anchor, most)
         mask = np.zeros(len(s.records), U64)
-        back = answers.filter(pa.array(second))
+        back, twice = answers.filter(pa.array(second)), np.zeros(len(s.h), bool)
         for b, p in zip(back["bucket"].to_pylist(), back["payload"].to_pylist(), strict=True):
-            own = s.order[s.edges[b - (1 << bits)] : s.edges[b - (1 << bits) + 1]]
-            mask[own] = np.frombuffer(p, U64)
+            b -= 1 << bits
+            if b >= 1 << bits:
+                x, y = s.h_edges[b - (1 << bits)], s.h_edges[b - (1 << bits) + 1]
+                twice[x:y] = np.unpackbits(np.frombuffer(p, np.uint8), count=y - x).astype(bool)
+            else:
+                mask[s.order[s.edges[b] : s.edges[b + 1]]] = np.frombuffer(p, U64)
         starts: dict[int, list[np.ndarray]] = {}
+        for i, at, number in s.singles:
+            starts.setdefault(i, []).append(at[twice[number]])
         for i, base, lo, hi, core, index in s.places:
             m = mask[index]
             for t in range(s.width + 1):
@@ -422,15 +470,16 @@ def _cut(bits: int, min_len: int, anchor: int):  # noqa: ANN202
     return cut
 
 
-def dedup_strings(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, anchor: int | None = None) -> DataFrame:
+def dedup_strings(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, anchor: int | None = None, hot: int = HOT) -> DataFrame:
+    """One row a document; see the module. `hot`: occurrences of a core beyond which its strings are dealt one by one."""
     anchor = anchor or min_len // 2
     n = group_count(total_bytes(docs, text))
     bits = bucket_bits(n)
     base = grouped(docs, n, id, text)
     first = exchange(base.groupBy("g").applyInArrow(_send_cores(bits, min_len, anchor), PAYLOAD_DDL))
-    segments = base.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(_send_segments(bits, min_len, anchor), PAYLOAD_DDL)
-    second = segments.groupBy("bucket").applyInArrow(_find_equal(min_len, anchor), PAYLOAD_DDL).withColumn("bucket", F.col("bucket") + F.lit(1 << bits))
-    return base.groupBy("g").cogroup(first.unionByName(second).groupBy("g")).applyInArrow(_cut(bits, min_len, anchor), OUT)
+    segments = base.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(_send_segments(bits, min_len, anchor, hot), PAYLOAD_DDL)
+    second = segments.groupBy("bucket").applyInArrow(_find_equal(bits, min_len, anchor), PAYLOAD_DDL).withColumn("bucket", F.col("bucket") + F.lit(1 << bits))
+    return base.groupBy("g").cogroup(first.unionByName(second).groupBy("g")).applyInArrow(_cut(bits, min_len, anchor, hot), OUT)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
