@@ -1,10 +1,18 @@
 """What the text operators share: words and hashes in numpy, and exchange of hashes between groups of documents.
 
-Groups. An operator that compares documents deals them to groups by the hash of their id; a group is a bounded
+Groups. An operator that compares documents deals them to groups by the hash of id and text; a group is a bounded
 number of bytes. Each group sends what it has, deduplicated, to buckets by hash value (a payload of packed
 integers for each bucket); a bucket, also bounded, answers each group with what it found. Text crosses the
 network once and a hash costs its own bytes, not those of a row. A value that a third of all documents hold
 reaches its bucket once a group, not once a document.
+
+There are about half as many buckets as groups, so the number of payloads is half the square of that of groups; a
+group's bytes therefore grow with the root of the input's (see group_count), and a payload holds many hashes:
+
+    input    groups      bytes each   hashes in a payload (of words)
+    30 GB    4800        6 MiB        250
+    1 TB     28,000      35 MiB       350
+    100 TB   1,500,000   64 MiB       11 (payloads are then about half overhead, and no worse beyond)
 """
 
 from __future__ import annotations
@@ -14,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odweave.session import shared_dir
@@ -27,8 +35,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: Bytes of text that one numpy step works on, unless a single document is longer.
 STEP_BYTES = 1 << 19
-#: Bytes of text in a group of documents.
-GROUP_BYTES = 6 << 20
+#: Bytes of text in a group of documents: the least, the most, and the input up to which groups are the least.
+GROUP_BYTES, MOST_GROUP_BYTES, SMALL_INPUT = 6 << 20, 64 << 20, 30e9
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -42,8 +50,10 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0)
 
 
-def group_count(n_bytes: int, group_bytes: int = GROUP_BYTES) -> int:
-    return max(8, math.ceil(n_bytes / group_bytes))
+def group_count(n_bytes: int, group_bytes: int | None = None) -> int:
+    """Groups of group_bytes each; by default of GROUP_BYTES, times the root of the input's size beyond SMALL_INPUT."""
+    grown = min(MOST_GROUP_BYTES, GROUP_BYTES * max(1.0, n_bytes / SMALL_INPUT) ** 0.5)
+    return max(8, math.ceil(n_bytes / (group_bytes or grown)))
 
 
 def bucket_bits(n_groups: int) -> int:
@@ -51,8 +61,13 @@ def bucket_bits(n_groups: int) -> int:
 
 
 def grouped(docs: DataFrame, n_groups: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(g, doc_id, text) with g by the hash of the id; null texts are empty."""
-    return docs.select(F.expr(f"pmod(xxhash64(`{id}`), {n_groups})").cast("int").alias("g"), F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(g, doc_id, text) with g by the hash of id and text, as an id may be that of many rows; null texts are empty."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(group_of(F.col(id), F.xxhash64(whole), n_groups).alias("g"), F.col(id).alias("doc_id"), whole.alias("text"))
+
+
+def group_of(id: Column, text_hash: Column, n_groups: int) -> Column:
+    return F.pmod(F.xxhash64(id, text_hash), F.lit(n_groups)).cast("int")
 
 
 # --- numbers from bytes ---------------------------------------------------------------------------------------

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odweave.llm.common import LOWER, PAYLOAD_DDL, U64, Hasher, bucket_bits, exchange, group_count, grouped, look_up, materialize, mix, payloads, received, send_keys, sequences, steps, tally, total_bytes, words
+from odweave.llm.common import LOWER, PAYLOAD_DDL, U64, Hasher, bucket_bits, exchange, group_count, group_of, grouped, look_up, materialize, mix, payloads, received, send_keys, sequences, steps, tally, total_bytes, words
 from odweave.llm.graphs import connected_components
 
 N = 5
@@ -76,7 +76,7 @@ def _describe(sets: Sets):  # noqa: ANN202
         for batch in batches:
             rows = [(len(s), *set_hashes(s)) for _, s in sets(batch["text"])]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(list(c), pa.int64()) for c in cols]], names=["doc_id", "n_shingles", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], *[pa.array(list(c), pa.int64()) for c in cols]], names=["doc_id", "h", "n_shingles", "s1", "s2"])
 
     return describe
 
@@ -343,13 +343,14 @@ def set_components(docs: DataFrame, sets: Sets, link: Link, *, id: str = "doc_id
     """The same for any sets of hashes, with any way to link those of a block."""
     groups = group_count(total_bytes(docs, text))
     bits = bucket_bits(groups)
-    known = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
-    rows = materialize(known.mapInArrow(_describe(sets), "doc_id long, n_shingles long, s1 long, s2 long"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    known = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(whole).alias("h"), whole.alias("text"))
+    rows = materialize(known.mapInArrow(_describe(sets), "doc_id long, h long, n_shingles long, s1 long, s2 long"))
     # a plain table to join with, so that a class of very many documents can be split
-    classes = materialize(rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("cid")))
+    classes = materialize(rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("s1", "s2", F.col("first.doc_id").alias("cid"), "first.h"))
     base = grouped(known, groups)
     packed = F.concat(*[_little(c) for c in ("cid", "s1")])
-    named = classes.select(F.lit(-1).alias("bucket"), F.expr(f"pmod(xxhash64(cid), {groups})").cast("int").alias("g"), packed.alias("payload"))
+    named = classes.select(F.lit(-1).alias("bucket"), group_of(F.col("cid"), F.col("h"), groups).alias("g"), packed.alias("payload"))
     answers = exchange(base.groupBy("g").cogroup(named.groupBy("g")).applyInArrow(_send_shingles(bits, sets), PAYLOAD_DDL))
     found = materialize(base.groupBy("g").cogroup(named.unionByName(answers).groupBy("g")).applyInArrow(_candidates(bits, sets), CANDIDATE))
     posted = found.select("label", F.explode("head").alias("token"))
@@ -362,11 +363,11 @@ def set_components(docs: DataFrame, sets: Sets, link: Link, *, id: str = "doc_id
     if counted.where(F.col("n") > block).limit(1).count():
         links = links.union(link_large_blocks(materialize(placed.where(F.col("n") > block)), block, link))
     # rows of one id are one document, whatever their sets
-    same = rows.where("n_shingles > 0").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
+    same = rows.drop("h").where("n_shingles > 0").join(classes.drop("h"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
     twice = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     extra = same.join(twice.withColumnRenamed("doc_id", "a"), "a", "left_semi").where("a <> b")
     roots = connected_components(links.union(extra)).select(F.col("id").alias("cid"), "root")
-    out = rows.join(classes, ["s1", "s2"], "left").join(roots, "cid", "left")
+    out = rows.drop("h").join(classes.drop("h"), ["s1", "s2"], "left").join(roots, "cid", "left")
     real = lambda c: F.when(c != LAST, c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.when(F.col("n_shingles") > 0, F.coalesce("root", "cid", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 

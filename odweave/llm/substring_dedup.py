@@ -5,9 +5,9 @@ names. For any two places i, j some shift below PERIOD takes both into the cover
 PERIOD + ANCHOR - 1 words, wherever they stand, share an anchor. Anchors that two documents hold mark candidates;
 a candidate is then extended to the whole window, by comparing a hash of all its words.
 
-Groups are ranges of ids, in order. So "a smaller id has it" is "an earlier group has it, or an earlier document
-of this group", and hashes travel without ids. Each step is an exchange between groups and buckets (see common):
-anchors out, repeated ones back; candidate windows out, back which of them an earlier group holds.
+Each step is an exchange between groups of documents and buckets (see common): anchors out, repeated ones back;
+distinct candidate windows out, each with the least id that the group has for it, back which of them a smaller id
+elsewhere holds. A group's other documents with such a window then know by their own ids.
 
 Contract: null texts have no words. A null id counts as the largest. Rows of one id are one document for the
 order; repeated rows don't remove each other. Extra columns don't pass; an empty table gives an empty result.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odweave.llm.common import PAYLOAD_DDL, U64, Hasher, bucket_bits, exchange, group_count, inside, look_up, payloads, received, send_keys, sequences, steps, tally, total_bytes, words
+from odweave.llm.common import PAYLOAD_DDL, U64, Hasher, bucket_bits, exchange, group_count, grouped, inside, look_up, payloads, received, send_keys, sequences, steps, tally, total_bytes, words
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
@@ -33,33 +33,8 @@ LAST = 2**63 - 1
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-MAX_CUTS = 256
-
-
-def ranged(docs: DataFrame, n_groups: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(g, doc_id, text) with g ascending in the id; null ids last.
-
-    Up to MAX_CUTS quantiles cut the ids into ranges; if more groups are needed, each range is cut again at
-    equal steps. (No lambda is in the expression, so that Spark recognises and reuses the exchange by g.)
-    """
-    base = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n_cuts = min(n_groups, MAX_CUTS)
-    found = base.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.percentile_approx("doc_id", [i / n_cuts for i in range(1, n_cuts)], 20_000).alias("c")).first()
-    cuts = sorted({int(c) for c in found["c"] or []})
-    if not cuts:
-        return base.select(F.lit(0).alias("g"), "doc_id", "text")
-    below = F.array_position(F.sort_array(F.array_append(F.array(*[F.lit(c) for c in cuts]), F.col("doc_id"))), F.col("doc_id")).cast("int") - 1
-    each = -(-n_groups // n_cuts)
-    if each > 1:
-        edges = [int(found["a"]) - 1, *cuts, int(found["b"])]
-        low, high = (F.element_at(F.array(*[F.lit(c) for c in edges]), below + i) for i in (1, 2))
-        sub = F.least(F.floor((F.col("doc_id") - low - 1) * F.lit(each) / F.greatest(high - low, F.lit(1))), F.lit(each - 1)).cast("int")
-        below = below * each + F.greatest(sub, F.lit(0))
-    return base.select(F.when(F.col("doc_id").isNull(), F.lit((len(cuts) + 1) * each)).otherwise(below).cast("int").alias("g"), "doc_id", "text")
-
-
 def in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """A group's documents by id, their ids as given to the output, and their place among distinct ids."""
+    """A group's documents by id, the ids (a null one as LAST), and their place among distinct ids."""
     ids = table["doc_id"].combine_chunks()
     order = np.argsort(ids.fill_null(LAST).to_numpy(zero_copy_only=False), kind="stable")
     table = table.take(pa.array(order))
@@ -131,6 +106,9 @@ class Candidates:
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
         self.h, self.s = h[new], s[new]
+        least = np.empty(int(self.place[-1]) + 1 if len(self.place) else 0, np.int64)
+        least[self.place] = self.ids
+        self.least = least[doc[new]]  # the least id that has each window here
         run = np.cumsum(new) - 1
         self.run = np.empty(len(h), np.int64)
         self.run[order] = run
@@ -145,27 +123,27 @@ def _send_windows(bits: int):  # noqa: ANN202
         c = Candidates(table, answers, bits)
         edges = np.append(np.searchsorted(c.h, np.arange(1 << bits, dtype=U64) << U64(64 - bits)), len(c.h))
         g = key[0].as_py()
-        return payloads([(b, g, c.h[x:y].tobytes() + c.s[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x])
+        return payloads([(b, g, c.h[x:y].tobytes() + c.least[x:y].tobytes() + c.s[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x])
 
     return send
 
 
 def _earlier(table: pa.Table) -> pa.Table:
-    """A bucket's answer to each group: a bit for each of its windows, set if an earlier group holds it."""
-    g = np.array(table["g"].to_pylist())
+    """A bucket's answer to each group: a bit for each of its windows, set if another group has it in a smaller id."""
     raw = table["payload"].to_pylist()
-    n = [len(p) // 12 for p in raw]
-    h = np.concatenate([np.frombuffer(p, U64, k) for p, k in zip(raw, n, strict=True)])
-    s = np.concatenate([np.frombuffer(p, np.uint32, k, 8 * k) for p, k in zip(raw, n, strict=True)])
-    group = np.repeat(g, n)
-    order = np.lexsort((group, s, h))
+    n = [len(p) // 20 for p in raw]
+    part = lambda kind, at: np.concatenate([np.frombuffer(p, kind, k, at * k) for p, k in zip(raw, n, strict=True)])
+    h, least, s = part(U64, 0), part(np.int64, 8), part(np.uint32, 16)
+    order = np.lexsort((least, s, h))
     hs, ss = h[order], s[order]
-    again = np.zeros(len(h), bool)
-    again[order[1:]] = (hs[1:] == hs[:-1]) & (ss[1:] == ss[:-1])
+    new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])))
+    smallest = np.empty(len(h), np.int64)
+    smallest[order] = least[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    before = smallest < least
     at, b, rows = 0, table["bucket"][0].as_py(), []
-    for gi, k in zip(g.tolist(), n, strict=True):
-        if again[at : at + k].any():
-            rows.append((b, gi, np.packbits(again[at : at + k]).tobytes()))
+    for g, k in zip(table["g"].to_pylist(), n, strict=True):
+        if before[at : at + k].any():
+            rows.append((b, g, np.packbits(before[at : at + k]).tobytes()))
         at += k
     return payloads(rows)
 
@@ -217,7 +195,7 @@ def _remove(bits: int):  # noqa: ANN202
 def dedup_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     n = group_count(total_bytes(docs, text))
     bits = bucket_bits(n)
-    base = ranged(docs, n, id, text)
+    base = grouped(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), n)
     first = exchange(base.groupBy("g").applyInArrow(_send_anchors(bits), PAYLOAD_DDL))
     windows = base.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(_send_windows(bits), PAYLOAD_DDL)
     second = windows.groupBy("bucket").applyInArrow(_earlier, PAYLOAD_DDL).withColumn("bucket", F.col("bucket") + F.lit(1 << bits))

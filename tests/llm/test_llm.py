@@ -32,9 +32,8 @@ def test_suffix_array_is_sorted():
         assert suffix_array.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-@pytest.mark.parametrize("step", [common.STEP_BYTES, 300])
-def test_strings(spark, docs, corpus, empty, step, monkeypatch):
-    monkeypatch.setattr(common, "STEP_BYTES", step)
+@pytest.mark.parametrize("hot", [suffix_array.HOT, 1, 3])
+def test_strings(docs, corpus, empty, hot):
     seen = Counter()
     texts = [(r[0], (r[1] or "").encode()) for r in corpus]
     for _, b in texts:
@@ -47,7 +46,7 @@ def test_strings(spark, docs, corpus, empty, step, monkeypatch):
                 gone[k : k + 200] = True
         spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(b) else 0
         want.append((i, len(b), int(gone.sum()), spans, sha(np.frombuffer(b, np.uint8)[~gone].tobytes())))
-    assert rows(suffix_array.dedup_strings(docs)) == sorted(want, key=str)
+    assert rows(suffix_array.dedup_strings(docs, hot=hot)) == sorted(want, key=str)
     assert suffix_array.dedup_strings(empty).count() == 0
 
 
@@ -188,6 +187,31 @@ def test_substrings(docs, corpus, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substrings_of_null_and_repeated_ids(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    shared = [say(20) for _ in range(6)]
+    texts = [(rnd.choice([None, 3, 7, *range(100, 140)]), f"{say(rnd.randint(0, 30))} {rnd.choice(shared)} {say(9)}") for _ in range(120)]
+    at, owner, want = lambda i: 2**63 - 1 if i is None else i, {}, []
+    for i, t in texts:
+        w = t.split()
+        for k in range(len(w) - 12):
+            owner[tuple(w[k : k + 13])] = min(at(i), owner.get(tuple(w[k : k + 13]), at(i)))
+    for i, t in texts:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - 12) if owner[tuple(w[k : k + 13])] < at(i) for j in range(13)}
+        want.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone).encode())))
+    assert rows(substring_dedup.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))) == sorted(want, key=str)
+
+
+def test_groups_grow_with_the_root_of_the_input():
+    """Payloads (groups times buckets) of 30 GB, 1 TB and 100 TB against a payload a thousand hashes and more."""
+    for n_bytes, most in ((0.5e9, 6e3), (30e9, 2.1e7), (1e12, 1e9), (1e14, 2e12)):
+        groups = common.group_count(int(n_bytes))
+        assert groups * 2 ** common.bucket_bits(groups) <= most and n_bytes / groups <= 64 << 20
+
+
 def test_difference_cover():
     p, c = substring_dedup.PERIOD, substring_dedup.COVER
     assert all(any((i + s) % p in c and (j + s) % p in c for s in range(p)) for i in range(p) for j in range(p))
