@@ -40,9 +40,12 @@ def distance_array(df: DataFrame, x0: str, y0: str, x1: str, y1: str, *, method:
     return df.withColumn(name, distance(*(F.col(c).cast("double") for c in (x0, y0, x1, y1)), method, **kwargs))
 
 
-def tlfd(df: DataFrame, value: str = "value", *, bin_start: float = 0, bin_end: float = 200, bin_step: float = 2, weights: str | None = None, intrazonal: Column | None = None, include_top: bool = False, top_exclusive: bool = False) -> DataFrame:
+def tlfd(df: DataFrame, value: str = "value", *, bin_start: float = 0, bin_end: float = 200, bin_step: float = 2, weights: str | None = None, intrazonal: Column | None = None, include_top: bool = False, top_exclusive: bool = False, label_type: str | None = None) -> DataFrame:
     """Trip-length distribution: (position, bin_type, bin_from, bin_to, label, value), empty bins included.
 
+    `label_type` gives one kind of label instead: MULTI (position, from, to, value, as text), or (position, label, value) with
+    TOP or BOTTOM, the bin's upper or lower edge, or TEXT, both.
+
     Bins are [a, b), the last one [a, b]. With `intrazonal`, those rows leave the bins and form a first row
     whatever their length; `include_top` adds a last row with all values >= bin_end (> with top_exclusive).
     """
@@ -64,7 +67,14 @@ def tlfd(df: DataFrame, value: str = "value", *, bin_start: float = 0, bin_end:
     if include_top:
         labels.append((n_bins, "top", float(edges[-1]), None, f"{fmt(edges[-1])} to inf"))
     bins = df.sparkSession.createDataFrame(labels, "position int, bin_type string, bin_from double, bin_to double, label string")
-    return bins.join(hist, "position", "left").select("position", "bin_type", "bin_from", "bin_to", "label", F.coalesce(F.col("__v"), F.lit(0)).alias("value"))
+    out = bins.join(hist, "position", "left").select("position", "bin_type", "bin_from", "bin_to", "label", F.coalesce(F.col("__v"), F.lit(0)).alias("value"))
+    if label_type is None:
+        return out
+    low, high = (F.split("label", " to ")[i] for i in (0, 1))
+    kinds = {"MULTI": [low.alias("from"), high.alias("to")], "TOP": [high.alias("label")], "BOTTOM": [low.alias("label")], "TEXT": [F.col("label")]}
+    if label_type.upper() not in kinds:
+        raise NotImplementedError(label_type)
+    return out.select("position", *kinds[label_type.upper()], "value")
 
 
 def convergence_errors(targets: DataFrame, results: DataFrame, keep: Callable[[Column], Column], *, key: str = "zone", adjust_target: bool = True, percentage: bool = True) -> DataFrame:

@@ -146,6 +146,13 @@ CASE WHEN diff >= 5000 THEN 'dodgerblue' WHEN diff >= 2000 THEN 'skyblue' WHEN d
 CASE WHEN perc >= 0.25 THEN 'dodgerblue' WHEN perc >= 0.1 THEN 'skyblue' WHEN perc <= -0.25 THEN 'tomato' WHEN perc <= -0.1 THEN 'lightsalmon' ELSE 'grey' END AS perc_colour FROM e""",
         "convergence_errors": f"""WITH {SIDES}, j AS (SELECT t.id AS zone, CAST(m.v AS DOUBLE) AS model, CAST(t.v AS DOUBLE) AS target FROM t JOIN m ON m.id = t.id WHERE t.v > 1000),
 f AS (SELECT zone, model, target * (SUM(model) OVER () / SUM(target) OVER ()) AS target FROM j) SELECT zone, 'jobs' AS col, ROUND(target, 4) AS target, ROUND((model - target) / target, 5) AS error FROM f""",
+        "convergence_summary": f"""WITH {FLOWS}, t AS (SELECT d AS zone, SUM(value) AS target FROM flows GROUP BY 1), m AS (SELECT o AS zone, SUM(value) AS model FROM flows GROUP BY 1),
+e AS (SELECT CAST(model AS DOUBLE) AS model, CAST(target AS DOUBLE) AS target, CAST(model AS DOUBLE) - target AS error FROM t JOIN m USING (zone) WHERE target > 1000)
+SELECT 'jobs' AS col, ROUND(SUM(model), 4) AS model_sum, ROUND(SUM(target), 4) AS target_sum, COUNT(*) AS zones, ROUND(quantile_cont(error, 0.25), 4) AS q1, ROUND(quantile_cont(error, 0.5), 4) AS median, ROUND(quantile_cont(error, 0.75), 4) AS q3 FROM e HAVING COUNT(*) > 0""",
+        "trumpet_categories": f"""WITH {FLOWS}, t AS (SELECT d AS id, CAST(SUM(value) AS BIGINT) AS cnt FROM flows GROUP BY 1), m AS (SELECT o AS id, CAST(SUM(value) AS BIGINT) AS model FROM flows GROUP BY 1)
+SELECT t.id, r_name, cnt, model, model - cnt AS error, ROUND((model - cnt) / CAST(cnt AS DOUBLE), 5) AS perc_error FROM t LEFT JOIN m USING (id) JOIN nation ON t.id = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+        "tlfd_multi_labels": """SELECT CAST(b.i AS INTEGER) AS position, CAST(b.i * 4 AS VARCHAR) AS "from", CAST(b.i * 4 + 4 AS VARCHAR) AS "to", COUNT(l_quantity) AS value
+FROM range(10) b(i) LEFT JOIN lineitem ON l_quantity BETWEEN 0 AND 40 AND LEAST(FLOOR(l_quantity / 4), 9) = b.i GROUP BY b.i""",
         "trumpet_points": f"WITH {SIDES} SELECT t.id, CAST(t.v AS BIGINT) AS cnt, CAST(m.v AS BIGINT) AS model, CAST(m.v - t.v AS BIGINT) AS error, ROUND(CAST(m.v - t.v AS DOUBLE) / CAST(t.v AS DOUBLE), 5) AS perc_error FROM t LEFT JOIN m ON m.id = t.id",
         "trumpet_curve": """WITH c AS (SELECT MAX(n) AS top FROM (SELECT COUNT(*) AS n FROM customer GROUP BY c_nationkey)), x AS (SELECT CAST(10 * i + 1 AS DOUBLE) AS x FROM range(100000) r(i), c WHERE 10 * i + 1 < top * 1.05)
 SELECT x, ROUND((-13.7722 + 555.1382 * POW(x, -0.26025)) / 100, 6) AS upper, ROUND(-(-13.7722 + 555.1382 * POW(x, -0.26025)) / 100, 6) AS lower FROM x""",

@@ -342,6 +342,23 @@ def convergence_errors(s: SparkSession, d: str) -> DataFrame:
     return out.select("zone", F.col("column").alias("col"), F.round("target", 4).alias("target"), F.round("error", 5).alias("error"))
 
 
+def convergence_summary(s: SparkSession, d: str) -> DataFrame:
+    m, t = _model_target(s, d)
+    targets = t.select("zone", F.col("total").cast("double").alias("jobs"))
+    results = m.select("zone", F.col("total").cast("double").alias("jobs"))
+    out = measures.convergence_summary(measures.convergence_errors(targets, results, lambda c: c > 1000, percentage=False, adjust_target=False))
+    return out.select(F.col("column").alias("col"), *[F.round(c, 4).alias(c) for c in ("model_sum", "target_sum")], "zones", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")])
+
+
+def trumpet_categories(s: SparkSession, d: str) -> DataFrame:
+    """Points that carry their region's name as category."""
+    m, t = _model_target(s, d)
+    names = table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("r_regionkey")).join(table(s, d, "region").select("r_regionkey", "r_name"), "r_regionkey")
+    counts = t.select(F.col("zone").alias("id"), F.col("total").alias("count")).join(names.drop("r_regionkey"), "id")
+    out = measures.trumpet_points(counts, m.select(F.col("zone").alias("id"), F.col("total").alias("model")), categories=["r_name"])
+    return out.select("id", "r_name", F.col("count").alias("cnt"), "model", "error", F.round("perc_error", 5).alias("perc_error"))
+
+
 def trumpet_points(s: SparkSession, d: str) -> DataFrame:
     m, t = _model_target(s, d)
     out = measures.trumpet_points(t.select(F.col("zone").alias("id"), F.col("total").alias("count")), m.select(F.col("zone").alias("id"), F.col("total").alias("model")))
@@ -371,7 +388,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         best_intermediate_unavailable, best_intermediate_subset, od_aggregate_regions, od_aggregate_wide_mean, od_aggregate_wide_median, od_aggregate_max, od_map_to_square, od_map_into_existing, od_coerce_square, expand_array, od_stack, od_unstack,
         od_totals, disaggregate_nations, split_zone, balance_rows_1d, balance_cols_1d, balance_2d_k_iters, balance_2d_converged, bucket_round_prices, bucket_round_hundreds, tlfd_intrazonal, distance_rows, lookup_reindex, lookup_fill, zone_indexers,
-        sum_frames, natural_sort_rank, category_codes, category_difference, align_categories, line_id_parse, eng_notation, segment_next_node, segment_alightings, result_summary, station_on_off, semi_join_countpost, relative_error_summary, convergence_errors, trumpet_points, trumpet_curve, matrix_file_round_trip,
+        sum_frames, natural_sort_rank, category_codes, category_difference, align_categories, line_id_parse, eng_notation, segment_next_node, segment_alightings, result_summary, station_on_off, semi_join_countpost, relative_error_summary, convergence_errors, convergence_summary, trumpet_categories, trumpet_points, trumpet_curve, matrix_file_round_trip,
     ]
     out = {f.__name__: f for f in own}
     out |= {
@@ -381,6 +398,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "best_intermediate_with_pair_cost": lambda s, d: best(s, d, add_cost=_pair_cost),
         "tlfd_quantity": _tlfd,
         "tlfd_weighted": lambda s, d: _tlfd(s, d, weights="w"),
+        "tlfd_multi_labels": lambda s, d: measures.tlfd(_trips(s, d), "l_quantity", bin_start=0, bin_end=40, bin_step=4, label_type="MULTI").withColumn("value", F.col("value").cast("bigint")),
         "tlfd_top": lambda s, d: _tlfd(s, d, include_top=True),
         "distance_euclid": lambda s, d: _distance(s, d, "EUCLIDEAN"),
         "distance_manhattan": lambda s, d: _distance(s, d, "MANHATTAN"),

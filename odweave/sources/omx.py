@@ -11,17 +11,15 @@ from pyspark.sql import functions as F
 
 from odweave.operators.zones import zone_list, zone_ordinals
 
-try:
-    import openmatrix
-except ImportError:
-    openmatrix = None
-
 ROWS_A_BLOCK = 256
 
 
 def _need() -> Any:
-    if openmatrix is None:
-        raise NotImplementedError("reading and writing OMX needs the package openmatrix")
+    """The package, looked for where it is used, as a worker may have it later than this module."""
+    try:
+        import openmatrix
+    except ImportError as absent:
+        raise NotImplementedError("reading and writing OMX needs the package openmatrix") from absent
     return openmatrix
 
 

@@ -104,6 +104,48 @@ def test_bucket_rounding(spark, decimals):
     assert all(abs(a[k] - b[k]) <= unit + 1e-6 for k in a)
 
 
+@pytest.mark.parametrize("decimals", [-2, 0, 5])
+def test_bucket_rounding_of_a_million_cells(spark, decimals):
+    """Running sums of the rounded cells stay within half a unit of the exact ones, over all blocks."""
+    import numpy as np
+    import pandas as pd
+
+    exact = np.random.default_rng(3).uniform(0, 1000, (1000, 1000)).round(6)
+    o, d = np.divmod(np.arange(1_000_000), 1000)
+    m = spark.createDataFrame(pd.DataFrame({"o": o, "d": d, "value": exact.ravel()}))
+    out = balance.bucket_round(m, decimals=decimals).select("o", "d", "value").toPandas().sort_values(["o", "d"])["value"].to_numpy(float)
+    micro = lambda x: np.rint(x * 1e6).astype(np.int64)  # noqa: E731  sums in whole millionths, as floats would round
+    unit = 10 ** (6 - decimals)
+    assert len(out) == 1_000_000 and 2 * np.abs(np.cumsum(micro(out)) - np.cumsum(micro(exact.ravel()))).max() <= unit
+    assert np.abs(micro(out) - micro(exact.ravel())).max() <= unit
+
+
+@pytest.mark.parametrize("check_every", [1, 4])
+def test_balancing_of_a_larger_matrix(spark, check_every):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    m, rows = rng.uniform(0, 1000, (60, 60)), rng.uniform(0, 1000, 60)
+    cols = np.roll(rows, 2)
+    vec = lambda x: spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "zone int, total double")
+    res = balance.balance_2d(tall(spark, m.tolist(), range(60), range(60), "double"), vec(rows), vec(cols), rel_error=1e-6, check_every=check_every)
+    got = np.zeros((60, 60))
+    for (a, b), v in cells(res.matrix).items():
+        got[a, b] = v
+    assert np.allclose(got.sum(1), rows, rtol=1e-4, atol=0.01) and np.allclose(got.sum(0), cols, rtol=1e-4, atol=0.01) and res.error <= 1e-6
+
+
+def test_label_types(spark):
+    df = spark.createDataFrame([(0.0,), (1.5,), (9.0,)], "value double")
+    kind = lambda t: [tuple(r)[1:-1] for r in measures.tlfd(df, bin_end=4, bin_step=2, include_top=True, label_type=t).orderBy("position").collect()]
+    assert kind("text") == [("0 to 2",), ("2 to 4",), ("4 to inf",)] and kind("TOP") == [("2",), ("4",), ("inf",)]
+    assert kind("BOTTOM") == [("0",), ("2",), ("4",)] and kind("MULTI") == [("0", "2"), ("2", "4"), ("4", "inf")]
+    with pytest.raises(NotImplementedError):
+        measures.tlfd(df, label_type="x")
+
+
+# The matrices, costs and expected results here and in the goldens of aggregation and disaggregation above
+# are those that results must equal.
 def legs(spark):
     util = [-0.1569, -0.4972, -0.4174, -0.1145, -0.1197, -0.0175, -0.3938, -0.9686]
     back = [-0.739, -INF, -INF, -0.3384, -0.9853, -0.1971, -INF, -0.896]

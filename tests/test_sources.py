@@ -59,13 +59,55 @@ def test_fortran(spark, tmp_path, matrix):
     assert len(cells(m.read_fortran_rectangle(spark, path, 4, reindex_rows=True, fill_value=0))) == 16
 
 
-def test_omx_needs_its_package(spark):
-    if omx.openmatrix is None:
+STAND_IN = """
+import numpy as np
+
+class File:
+    def __init__(self, path, mode, title=""):
+        self.path, self.mode, self.arrays, self.maps, self.titles = path, mode, {}, {}, {"": title}
+        if mode == "r":
+            with np.load(path) as z:
+                for k in z.files:
+                    (self.maps if k.startswith("map_") else self.arrays)[k[4:]] = z[k]
+    def __enter__(self): return self
+    def __exit__(self, *a):
+        if self.mode == "w":
+            with open(self.path, "wb") as f:
+                np.savez(f, **{f"mat_{k}": v for k, v in self.arrays.items()}, **{f"map_{k}": v for k, v in self.maps.items()})
+    def list_matrices(self): return list(self.arrays)
+    def shape(self): return next(iter(self.arrays.values())).shape
+    def map_entries(self, name): return self.maps[name].tolist()
+    def create_mapping(self, name, labels): self.maps[name] = np.array(labels)
+    def create_matrix(self, name, obj=None, **kw):
+        self.arrays[name], self.titles[name] = obj, kw.get("title")
+        return self.arrays[name]
+    def __getitem__(self, name): return self.arrays[name]
+
+open_file = File
+"""
+
+
+def test_omx(spark, tmp_path, monkeypatch):
+    """With a stand-in of the optional package, which workers get as a file."""
+    import sys
+
+    one = spark.createDataFrame([(7, 7, 1.0), (7, 3, 2.0), (3, 7, None)], "o int, d int, value double")
+    two = one.withColumn("value", one["value"] * 10)
+    path = str(tmp_path / "a.omx")
+    if "openmatrix" not in sys.modules:
         with pytest.raises(NotImplementedError):
             omx.read_omx(spark, "x.omx")
-    two = spark.createDataFrame([(1, 1, 1.0), (1, 1, 2.0)], "o int, d int, value double")
-    with pytest.raises(ValueError):
-        omx.check_collection({"a": two})
+    (tmp_path / "openmatrix.py").write_text(STAND_IN)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "openmatrix.py"))
+    omx.to_omx(path, {"m10": one, "m9": two}, title="t", descriptions={"m9": "ten times"})
+    got = omx.read_omx(spark, path, mapping="zone_numbers").collect()
+    assert {(r["matrix"], r["o"], r["d"]): r["value"] for r in got} == {(m, o, d): k * {(7, 7): 1.0, (7, 3): 2.0}.get((o, d), 0) for m, k in (("m10", 1), ("m9", 10)) for o in (3, 7) for d in (3, 7)}
+    assert {(r["matrix"], r["o"]) for r in omx.read_omx(spark, path, tables=["m9"]).collect()} == {("m9", 0), ("m9", 1)}
+    twice = spark.createDataFrame([(1, 1, 1.0), (1, 1, 2.0)], "o int, d int, value double")
+    for bad in ({"a": twice}, {}, {"a": one, "b": spark.createDataFrame([(1, 1, 1.0)], one.schema)}):
+        with pytest.raises(ValueError):
+            omx.check_collection(bad)
 
 
 @pytest.fixture(scope="module")
