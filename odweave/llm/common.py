@@ -46,6 +46,16 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def wrapped(docs: DataFrame, **own: Column) -> DataFrame:
+    """All columns of docs in one, `row`, beside an operator's own, which no column of docs can then clash with."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in own.items()])
+
+
+def unwrapped(docs: DataFrame) -> list[Column]:
+    """The columns of docs, out of what wrapped() made."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0)
 

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odweave.llm.common import materialize
+from odweave.llm.common import materialize, unwrapped, wrapped
 from odweave.session import remove, shared_dir
 
 BLANKS = "\t\n\x0b\x0c\r "
@@ -114,16 +114,18 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_
         runs.drop()
     gone = spark.read.schema("doc long, version long, pos int").parquet(f"{base}/gone")
     gone = gone.groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version")).agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
-    joined = docs.withColumns({"__d": doc, "__v": version}).join(gone, (F.col("__d") == F.col("__doc")) & (F.col("__v") == F.col("__version")), "left")
+    body = F.col("row").getField(text)
+    joined = wrapped(docs, doc=doc, version=version).join(gone, (F.col("doc") == F.col("__doc")) & (F.col("version") == F.col("__version")), "left")
     # the array of lines is bound once; array_except keeps the order and takes linear time
     places = lambda a: F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("__gone"))
-    rebuilt = F.transform(F.array(_lines(F.col(text))), lambda a: F.concat_ws("\n", F.transform(places(a), lambda i: F.get(a, i))))[0]
-    whole = F.coalesce(F.col(text), F.lit(""))
+    rebuilt = F.transform(F.array(_lines(body)), lambda a: F.concat_ws("\n", F.transform(places(a), lambda i: F.get(a, i))))[0]
+    whole = F.coalesce(body, F.lit(""))
     n = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("__gone").isNull(), whole).otherwise(rebuilt).alias("kept_text"),
+    out = joined.select(
+        "row", F.when(F.col("__gone").isNull(), whole).otherwise(rebuilt).alias("kept_text"),
         n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return out.select(*unwrapped(docs), "kept_text", "n_lines", "n_dropped")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

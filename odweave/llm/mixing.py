@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from odweave.llm.common import materialize
+from odweave.llm.common import materialize, unwrapped, wrapped
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,15 +42,14 @@ def uniform(id: Column, salt: str, seed: Column) -> Column:
     return F.pmod(first + seed.cast("long") * second, F.lit(2**BITS)).cast("double") / F.lit(float(2**BITS))
 
 
-def best_seeds(sized: DataFrame, targets: DataFrame, *, id: str, source: str, salt: str) -> DataFrame:
-    """targets (source, source_size, target) with rate and the seed that comes nearest, over (id, source, size)."""
+def best_seeds(counted: DataFrame, targets: DataFrame, *, salt: str) -> DataFrame:
+    """targets (source, source_size, target) with rate and the seed that comes nearest, over (id, of, size)."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rated = targets.select(F.col("source").alias("__source"), "source_size", "target", rate.alias("rate"))
-    joined = sized.join(rated, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__part", F.col("rate") - F.floor("rate"))
-    more = [F.sum(F.when(uniform(F.col(id), salt, F.lit(k)) < F.col("__part"), F.col("size")).otherwise(F.lit(0))) for k in range(SEEDS)]
-    summed = joined.groupBy("__source", "source_size", "target", "rate").agg(F.array(*more).alias("more"))
+    joined = counted.join(targets.withColumn("rate", rate), F.col("of").eqNullSafe(F.col("source"))).withColumn("part", F.col("rate") - F.floor("rate"))
+    more = [F.sum(F.when(uniform(F.col("id"), salt, F.lit(k)) < F.col("part"), F.col("size")).otherwise(F.lit(0))) for k in range(SEEDS)]
+    summed = joined.groupBy("source", "source_size", "target", "rate").agg(F.array(*more).alias("more"))
     missed = F.transform("more", lambda x: F.abs((F.col("source_size") * F.floor("rate") + x).cast("double") - F.col("target")))
-    return summed.select("__source", "source_size", "target", "rate", (F.array_position(missed, F.array_min(missed)) - 1).cast("int").alias("seed"))
+    return summed.select("source", "source_size", "target", "rate", (F.array_position(missed, F.array_min(missed)) - 1).cast("int").alias("seed"))
 
 
 def source_targets(sizes: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -72,22 +71,25 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[float] = (5, 2, 1), sh
 
 
 def mix_sources(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", salt: str = "mix", **shares: object) -> DataFrame:
-    made = {"size", "source_size", "target", "rate", "seed", "copies"} - {id, text, source}
-    sized = docs.drop(*made).withColumn("size", word_count(F.col(text)))
-    counted = materialize(sized.select(F.col(id).alias("__id"), F.col(source).alias("__of"), "size"))
-    by_source = counted.groupBy(F.col("__of").alias("source")).agg(F.sum("size").alias("source_size"))
+    kept = docs.drop(*{"size", "source_size", "target", "rate", "seed", "copies"} - {id, text, source})
+    sized = wrapped(kept, id=F.col(id), of=F.col(source), size=word_count(F.col(text)))
+    counted = materialize(sized.select("id", "of", "size"))
+    by_source = counted.groupBy(F.col("of").alias("source")).agg(F.sum("size").alias("source_size"))
     # tables of one row a source are written, so that their size is known: a small one is sent to the documents, else
     # a hot source is split
     targets = materialize(source_targets(by_source, **shares))
-    seeds = materialize(best_seeds(counted, targets, id="__id", source="__of", salt=salt))
-    joined = sized.join(seeds, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
-    once_more = (uniform(F.col(id), salt, F.col("seed")) < F.col("rate") - F.floor("rate")).cast("long")
-    return joined.withColumn("copies", F.floor("rate") + once_more)
+    seeds = materialize(best_seeds(counted, targets, salt=salt))
+    joined = sized.join(seeds, F.col("of").eqNullSafe(F.col("source")))
+    made = ("size", "source_size", "target", "rate", "seed", "copies")
+    once_more = (uniform(F.col("id"), salt, F.col("seed")) < F.col("rate") - F.floor("rate")).cast("long")
+    return joined.withColumn("copies", F.floor("rate") + once_more).select("row", *made).select(*unwrapped(kept), *made)
 
 
 def emit_copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixed.where("copies > 0").select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).drop("__copy")
+    taken = mixed.where("copies > 0")
+    rows = wrapped(taken, copy=F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

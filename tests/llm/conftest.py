@@ -2,6 +2,9 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, g int, batch int, size int, score double"
 
+#: Names that operators give to columns of their own, in results or on the way.
+CLASHING = "copies rate target seed kept_text n_lines n_dropped grp d2 label h i b z n component bucket payload block token __gone __doc __d __v __version __source __part __of __id __row __copy __order predicted length".split()
+
 
 @pytest.fixture(scope="session")
 def corpus():
@@ -36,9 +39,13 @@ def corpus():
 
 @pytest.fixture(scope="session")
 def docs(spark, corpus):
-    return spark.createDataFrame(corpus, DOCS).repartition(3).cache()
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame(corpus, DOCS).withColumns({c: F.lit(7) for c in CLASHING}).repartition(3).cache()
 
 
 @pytest.fixture(scope="session")
 def empty(spark):
-    return spark.createDataFrame([], DOCS)
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame([], DOCS).withColumns({c: F.lit(7) for c in CLASHING})
