@@ -8,9 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from odweave.session import local_session
+    from odweave.session import clear, local_session
 
     s = local_session(4, **{"spark.sql.shuffle.partitions": "4"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear(s)
     s.stop()
