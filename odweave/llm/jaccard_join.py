@@ -5,8 +5,8 @@
    of that number, rarest first, two sets at the threshold share one among the first |x| - ceil(t |x|) + 1 of
    each. A set whose first ones are all its own has no partner; that leaves copies and near copies.
 3. The classes that hold such a shingle among their first ones are its posting list. A block is all lists with one
-   least class, found by a partial aggregation; each class goes, once, to the blocks of its first shingles. Any two
-   sets at the threshold so meet in a block, and nothing is closed transitively before it is verified: text made of
+   least class, found by a partial aggregation; each class goes, once, to the blocks of its first shingles, but for
+   blocks that lie within another. Any two sets at the threshold so meet in a block, and nothing is closed transitively before it is verified: text made of
    shared passages gives many small blocks, not one that chains them all.
 4. In a block, sets go into a prefix tree in one order, commonest shingle first, so that like sets share long
    paths. A set walks down the tree once, carrying the overlap of the path, and leaves a subtree when the
@@ -306,6 +306,16 @@ def _link_across(link: Link):  # noqa: ANN202
 EDGE = "a long, b long"
 
 
+def without_nested(dealt: DataFrame) -> DataFrame:
+    """(label, block, n): blocks of two and more, but for those whose members all are in the first block of the class
+    that names them, which then links them. dealt: (label, block), a written table; a block is named by its least label."""
+    counted = dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    first = dealt.groupBy(F.col("label").alias("block")).agg(F.min("block").alias("outer")).where("outer < block")
+    inside = dealt.join(first, "block").join(dealt.select("label", F.col("block").alias("outer")), ["label", "outer"], "left_semi")
+    nested = inside.groupBy("block").agg(F.count("*").alias("n"))
+    return dealt.join(materialize(counted.join(nested, ["block", "n"], "left_anti")), "block")
+
+
 def _relabel(sets: DataFrame, links: DataFrame) -> DataFrame:
     roots = connected_components(links).withColumnRenamed("id", "label")
     return sets.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
@@ -356,11 +366,10 @@ def set_components(docs: DataFrame, sets: Sets, link: Link, *, id: str = "doc_id
     posted = found.select("label", F.explode("head").alias("token"))
     least = posted.groupBy("token").agg(F.min("label").alias("block"), F.count("*").alias("k")).where("k > 1").drop("k")
     # written, so that what meets each other next is of known size and a block of very many classes can be split
-    dealt = materialize(posted.join(least, "token").select("label", "block").distinct())
-    counted = materialize(dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"))
-    placed = found.drop("head").join(dealt.join(counted, "block"), "label").select("block", "n", "label", "size", "blob")
+    dealt = materialize(without_nested(materialize(posted.join(least, "token").select("label", "block").distinct())))
+    placed = found.drop("head").join(dealt, "label").select("block", "n", "label", "size", "blob")
     links = placed.where(F.col("n") <= block).groupBy("block").applyInArrow(_link_block(link), EDGE)
-    if counted.where(F.col("n") > block).limit(1).count():
+    if dealt.where(F.col("n") > block).limit(1).count():
         links = links.union(link_large_blocks(materialize(placed.where(F.col("n") > block)), block, link))
     # rows of one id are one document, whatever their sets
     same = rows.drop("h").where("n_shingles > 0").join(classes.drop("h"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))

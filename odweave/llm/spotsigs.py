@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from odweave.llm.common import LOWER, SEPARATOR, U64, Hasher, group_count, materialize, mix, steps, total_bytes
 from odweave.llm.graphs import connected_components
-from odweave.llm.jaccard_join import BLOCK, BOTTOM, EDGE, LAST, TOP, Union, _link_block, link_large_blocks, ranked, set_hashes
+from odweave.llm.jaccard_join import BLOCK, BOTTOM, EDGE, LAST, TOP, Union, _link_block, link_large_blocks, ranked, set_hashes, without_nested
 
 #: Common words of English, French, German and Spanish.
 COMMON = """a an and are as at be been but by for from had has have he her his if in into is it its not of on or she so that the their them then there they this to was we were which who will with you
@@ -300,15 +300,14 @@ def described_components(docs: DataFrame, *, id: str = "doc_id", text: str = "te
     classes = materialize(rows.where("n > 0").groupBy("s1").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("s1", "first.*"))
     posted = keyed.select("text").mapInArrow(_rarest(counts), "label long, token long")
     least = posted.groupBy("token").agg(F.min("label").alias("block"), F.max("label").alias("most")).where("block < most").drop("most")
-    dealt = materialize(posted.join(least, "token").select("label", "block").distinct())
-    counted = materialize(dealt.groupBy("block").agg(F.count("*").alias("k")).where("k > 1"))
+    dealt = materialize(without_nested(materialize(posted.join(least, "token").select("label", "block").distinct())))
     # a class's set comes from its first document; tables that meet the sets are written, so that their size is known
-    wanted = materialize(classes.withColumnRenamed("s1", "label").join(dealt.join(counted, "block", "left_semi").select("label").distinct(), "label", "left_semi"))
+    wanted = materialize(classes.withColumnRenamed("s1", "label").join(dealt.select("label").distinct(), "label", "left_semi"))
     sets = keyed.mapInArrow(_sets, "doc_id long, h long, label long, size long, blob binary").join(wanted, ["label", "doc_id", "h"], "left_semi")
-    placed = materialize(sets.join(dealt.join(counted, "block"), "label").select("block", F.col("k").alias("n"), "label", "size", "blob"))
+    placed = sets.join(dealt, "label").select("block", "n", "label", "size", "blob")
     links = placed.where(F.col("n") <= block).groupBy("block").applyInArrow(_link_block(_link), EDGE)
-    if counted.where(F.col("k") > block).limit(1).count():
-        links = links.union(link_large_blocks(placed.where(F.col("n") > block), block, _link))
+    if dealt.where(F.col("n") > block).limit(1).count():
+        links = links.union(link_large_blocks(materialize(placed.where(F.col("n") > block)), block, _link))
     roots = connected_components(links).select(F.col("id").alias("s1"), "root")
     known = classes.join(roots, "s1").select("s1", "root", "doc_id")
     heads = known.join(known.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("s1", "component")

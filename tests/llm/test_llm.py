@@ -249,6 +249,20 @@ def test_jaccard(docs, corpus, empty, block):
         assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_nested_blocks_go_and_pairs_stay(spark):
+    rnd = random.Random(11)
+    for _ in range(4):
+        lists = [rnd.sample(range(30), rnd.randint(1, 8)) for _ in range(40)]
+        dealt = {(x, min(p)) for p in lists for x in p}
+        out = jaccard_join.without_nested(spark.createDataFrame(sorted(dealt), "label long, block long")).collect()
+        kept = defaultdict(set)
+        for r in out:
+            kept[r["block"]].add(r["label"])
+        assert all(len(kept[r["block"]]) == r["n"] > 1 for r in out) and len(out) < len(dealt)
+        for p in lists:
+            assert len(set(p)) < 2 or any(set(p) <= k for k in kept.values())
+
+
 def test_prefix_tree_finds_all_links():
     rnd = random.Random(2)
     for _ in range(30):
