@@ -33,14 +33,13 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame, *, totals_to_use: str = "raise", max_iterations: int = 1000, rel_error: float = 1e-4, check_every: int = 1, value: str = "value") -> Balanced:
+def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame, *, totals_to_use: str = "raise", max_iterations: int = 1000, rel_error: float = 1e-4, value: str = "value") -> Balanced:
     """Iterative proportional fitting, row then column, over scaling vectors.
 
     The matrix stays unchanged; only two vectors of zone length move, as tables: a pass is two joins and aggregations,
-    written to the shared folder, and one number comes back, the error. `check_every` passes are planned as one job,
-    and the error is looked at after each such job. `totals_to_use` says how unequal totals are reconciled: raise,
-    rows, columns or average. At most `max_iterations` passes are made; without convergence a RuntimeWarning is
-    given. An input that is balanced already comes back unchanged.
+    each written to the shared folder, and one number comes back, the error. `totals_to_use` says how unequal totals
+    are reconciled: raise, rows, columns or average. At most `max_iterations` passes are made; without convergence
+    a RuntimeWarning is given. An input that is balanced already comes back unchanged.
     """
     reject_streaming(matrix, "balance_2d")
     if totals_to_use not in ("raise", "rows", "columns", "average"):
@@ -60,39 +59,31 @@ def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame,
         if cells.select(F.col(axis).alias("zone")).distinct().join(totals, "zone", "left_anti").limit(1).count():
             raise KeyError("a zone of the matrix has no total")
 
-    def scaled_sums(x: DataFrame, across: str, to: str, totals: DataFrame) -> DataFrame:
-        """(zone, goal, sum of m * x over `across`) for each zone of totals; zones without cells have 0."""
-        sums = cells.join(x.select(F.col("zone").alias(across), "x"), across).groupBy(F.col(to).alias("zone")).agg(F.sum(F.col("m") * F.col("x")).alias("sum"))
-        return totals.join(sums, "zone", "left").select("zone", "goal", F.coalesce("sum", F.lit(0.0)).alias("sum"))
+    def met(x: DataFrame, across: str, to: str, own: DataFrame) -> DataFrame:
+        """own (zone, goal, x) with the sum of cells times the other axis's x; zones without cells have 0."""
+        sums = cells.join(x.select(F.col("zone").alias(across), F.col("x").alias("other")), across).groupBy(F.col(to).alias("zone")).agg(F.sum(F.col("m") * F.col("other")).alias("sum"))
+        return own.select("zone", "goal", "x").join(sums, "zone", "left").select("zone", "goal", "x", F.coalesce("sum", F.lit(0.0)).alias("sum"))
 
-    def step(x: DataFrame, sums: DataFrame) -> DataFrame:
-        """The vector moved so that its zones meet their goals."""
-        return sums.join(x, "zone").select("zone", (F.col("x") * (F.col("goal") / (F.col("x") * F.col("sum") + F.lit(EPS)))).alias("x"))
-
-    def error(x: DataFrame, sums: DataFrame) -> DataFrame:
-        return sums.join(x, "zone").select(F.abs(F.col("goal") - F.col("x") * F.col("sum")).alias("gap"))
+    def moved(state: DataFrame) -> DataFrame:
+        """The vector scaled so that its zones meet their goals."""
+        return state.withColumn("x", F.col("x") * (F.col("goal") / (F.col("x") * F.col("sum") + F.lit(EPS))))
 
     def total_error(rows: DataFrame, cols: DataFrame) -> float:
-        return error(r, rows).union(error(c, cols)).agg(F.coalesce(F.sum("gap"), F.lit(0.0))).first()[0]
+        return rows.union(cols).agg(F.coalesce(F.sum(F.abs(F.col("goal") - F.col("x") * F.col("sum"))), F.lit(0.0))).first()[0]
 
-    r, c = (t.select("zone", F.lit(1.0).alias("x")) for t in (a, b))
-    rows, cols = _written(scaled_sums(c, "d", "o", a)), _written(scaled_sums(r, "o", "d", b))
-    initial, err, i = total_error(rows, cols), 1.0, 0
+    r, c = a.withColumn("x", F.lit(1.0)), b.withColumn("x", F.lit(1.0))
+    r, c = _written(met(c, "d", "o", r)), _written(met(r, "o", "d", c))
+    initial, err, i = total_error(r, c), 1.0, 0
     if initial <= 1e-12 * (sa + sb):  # only rounding is left
         return Balanced(matrix.select("o", "d", F.col(value).cast("double").alias(value)), 0.0, 0)
     while err > rel_error:
         if i >= max_iterations:
             warnings.warn(f"no convergence after {i} iterations: relative error {err:g}", RuntimeWarning, stacklevel=2)
             break
-        for k in range(n := min(check_every, max_iterations - i)):
-            r = step(r, rows)
-            cols = scaled_sums(r, "o", "d", b)
-            if k == n - 1:
-                r, cols = _written(r), _written(cols)
-            c = step(c, cols)
-            rows = scaled_sums(c, "d", "o", a)
-        c, rows = _written(c), _written(rows)
-        err, i = total_error(rows, cols) / initial, i + n
+        r = moved(r)
+        c = moved(_written(met(r, "o", "d", c)))
+        r = _written(met(c, "d", "o", r))
+        err, i = total_error(r, c) / initial, i + 1
     out = matrix.select("o", "d", F.col(value).cast("double").alias("__m"))
     for axis, x in (("o", r), ("d", c)):
         out = out.join(x.select(F.col("zone").alias(axis), F.col("x").alias(f"__{axis}")), axis)
