@@ -295,8 +295,8 @@ def described_components(docs: DataFrame, *, id: str = "doc_id", text: str = "te
     all_ = materialize(keyed.mapInArrow(_describe, "doc_id long, h long, n long, s1 long, sketch binary"))
     rows = all_.where("sketch is null").drop("sketch")
     sketches = all_.where("sketch is not null").select("sketch").mapInArrow(_add_sketches, "sketch binary")
-    sketch = sketches.repartition(1).mapInArrow(_add_sketches, "sketch binary").first()[0]  # one row of bounded size
-    counts = np.frombuffer(zlib.decompress(sketch), U64)
+    sketch = sketches.repartition(1).mapInArrow(_add_sketches, "sketch binary").first()  # one row of bounded size
+    counts = np.frombuffer(zlib.decompress(sketch[0]), U64) if sketch else np.zeros(1 << SKETCH_BITS, U64)
     classes = materialize(rows.where("n > 0").groupBy("s1").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("s1", "first.*"))
     posted = keyed.select("text").mapInArrow(_rarest(counts), "label long, token long")
     least = posted.groupBy("token").agg(F.min("label").alias("block"), F.max("label").alias("most")).where("block < most").drop("most")
