@@ -11,10 +11,11 @@ not (0.0).
 1. One pass gives each document's set size and set hash; documents of one hash are a class. Each task adds a sketch of
    how often signatures occur, 2**SKETCH_BITS counters, which added up put all signatures in one order, rarest first.
 2. Two sets at the threshold share one of the first |x| - ceil(t |x|) + 1 of each in that order (any order would do;
-   this one keeps common signatures out). A pass gives these with their class; those with one least class are a
-   block (as in jaccard_join), and each class goes once to each of its blocks.
-3. A block's sets are partitioned by length: those of partitions two or more apart never meet, nor those that hang
-   together already, and within reach a comparison ends once the bound on what may still be common is too low.
+   this one keeps common signatures out). A pass gives these with their class and length partition. Sets of partitions
+   two or more apart can't be alike, so a signature's list is cut by them: a set is in that of its own partition and in
+   the next. Lists with one least class and partition are a block, and each class goes once to each of its blocks.
+3. In a block, sets of partitions two or more apart never meet, nor those that hang together already, and within
+   reach a comparison ends once the bound on what may still be common is too low.
 
 `fingerprint_in_order` lets each document meet the next one: text is shuffled once, compressed, into ranges of ids that
 a task reads in order, whatever their size. Each document's component travels in the same shuffle.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from odweave.llm.common import LOWER, SEPARATOR, U64, Hasher, group_count, materialize, mix, steps, total_bytes
 from odweave.llm.graphs import connected_components
-from odweave.llm.jaccard_join import BLOCK, BOTTOM, EDGE, LAST, TOP, Union, _link_block, link_large_blocks, ranked, set_hashes, without_nested
+from odweave.llm.jaccard_join import BLOCK, BOTTOM, EDGE, LAST, TOP, Union, _link_block, link_large_blocks, ranked, set_hashes
 
 #: Common words of English, French, German and Spanish.
 COMMON = """a an and are as at be been but by for from had has have he her his if in into is it its not of on or she so that the their them then there they this to was we were which who will with you
@@ -49,6 +50,8 @@ al como con cuando de del desde el ella en entre era es esta este fue ha hay la
 CHAIN, DISTANCE = 2, 1
 #: Counters of the sketch of signatures, and ranges of ids at most.
 SKETCH_BITS, MAX_RANGES = 16, 20_000
+#: Bits of a filter that spares most sets the way to the join by which they are chosen.
+FILTER_BITS = 23
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _HASHER = Hasher(23)
@@ -261,26 +264,57 @@ def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _rarest(counts: np.ndarray):  # noqa: ANN202
+    edges = length_edges(TOP / BOTTOM)
+
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(label, token): of each set the first ones, of which a partner shares one."""
+        """(label, token, part): of each set the first ones, of which a partner shares one, and its length partition."""
         for batch in batches:
-            labels, tokens = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            labels, tokens, parts = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
             for _, s in signature_sets(batch["text"]):
                 if len(s):
                     room = len(s) - -(-TOP * len(s) // BOTTOM) + 1
                     first = s[np.lexsort((s, counts[(s >> U64(32 - SKETCH_BITS)).astype(np.int64)]))[:room]]
                     labels.append(np.full(room, set_hashes(s)[0], np.int64))
-                    tokens.append(first.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(labels)), pa.array(np.concatenate(tokens))], names=["label", "token"])
+                    tokens.append(first.astype(np.uint32).view(np.int32))
+                    parts.append(np.full(room, length_partition(len(s), TOP / BOTTOM, edges), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (labels, tokens, parts)], names=["label", "token", "part"])
 
     return rarest
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the bits at the places `f`, or those of the rows' own bits, together."""
+    bits = np.zeros(1 << FILTER_BITS, bool)
     for batch in batches:
-        found = [(set_hashes(s)[0], len(s), s.astype("<u4").tobytes()) for _, s in signature_sets(batch["text"])]
-        label, size, blob = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(label, pa.int64()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())], names=["doc_id", "h", "label", "size", "blob"])
+        if "f" in batch.schema.names:
+            bits[batch["f"].to_numpy()] = True
+        else:
+            for one in batch["bits"].to_pylist():
+                bits |= np.unpackbits(np.frombuffer(zlib.decompress(one), np.uint8)).astype(bool)
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
+
+
+def _marked(df: DataFrame) -> np.ndarray:
+    """A filter of the documents (doc_id, h) of df: FILTER_BITS bits, one of which each sets."""
+    one = df.select(_place()).mapInArrow(_marks, "bits binary").repartition(1).mapInArrow(_marks, "bits binary").first()
+    return np.frombuffer(zlib.decompress(one[0]), np.uint8) if one else np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+
+
+def _place() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "h"), F.lit(1 << FILTER_BITS)).cast("int").alias("f")
+
+
+def _sets(marks: np.ndarray):  # noqa: ANN202
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of the documents that the filter lets through."""
+        bits = np.unpackbits(marks).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[batch["f"].to_numpy()]))
+            found = [(set_hashes(s)[0], len(s), s.astype("<u4").tobytes()) for _, s in signature_sets(batch["text"])]
+            label, size, blob = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(label, pa.int64()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())], names=["doc_id", "h", "label", "size", "blob"])
+
+    return sets
 
 
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -298,13 +332,19 @@ def described_components(docs: DataFrame, *, id: str = "doc_id", text: str = "te
     sketch = sketches.repartition(1).mapInArrow(_add_sketches, "sketch binary").first()  # one row of bounded size
     counts = np.frombuffer(zlib.decompress(sketch[0]), U64) if sketch else np.zeros(1 << SKETCH_BITS, U64)
     classes = materialize(rows.where("n > 0").groupBy("s1").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("s1", "first.*"))
-    posted = keyed.select("text").mapInArrow(_rarest(counts), "label long, token long")
-    least = posted.groupBy("token").agg(F.min("label").alias("block"), F.max("label").alias("most")).where("block < most").drop("most")
-    dealt = materialize(without_nested(materialize(posted.join(least, "token").select("label", "block").distinct())))
+    posted = keyed.select("text").mapInArrow(_rarest(counts), "label long, token int, part int")
+    several = posted.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
+    # the lists of each token are cut by length: a set is in the list of its own partition and, as a guest, of the next
+    shared = posted.join(several, "token").select("label", "token", F.explode(F.array(F.struct("part", F.lit(1).alias("own")), F.struct((F.col("part") + 1).alias("part"), F.lit(0).alias("own")))).alias("at"))
+    cut = materialize(shared.select("label", "token", "at.part", "at.own").distinct())
+    least = cut.groupBy("token", "part").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("own").alias("own")).where("least < most and own = 1")
+    lists = cut.join(least.select("token", "part", "least"), ["token", "part"])
+    named = lists.select("label", F.xxhash64("least", "part").alias("block")).distinct()
+    counted = named.groupBy("block").agg(F.count("*").alias("n"))
     # a class's set comes from its first document; tables that meet the sets are written, so that their size is known
-    wanted = materialize(classes.withColumnRenamed("s1", "label").join(dealt.select("label").distinct(), "label", "left_semi"))
-    sets = keyed.mapInArrow(_sets, "doc_id long, h long, label long, size long, blob binary").join(wanted, ["label", "doc_id", "h"], "left_semi")
-    placed = sets.join(dealt, "label").select("block", "n", "label", "size", "blob")
+    dealt = materialize(named.join(counted, "block").join(classes.withColumnRenamed("s1", "label"), "label"))
+    sets = keyed.withColumn("f", _place()).mapInArrow(_sets(_marked(dealt)), "doc_id long, h long, label long, size long, blob binary")
+    placed = sets.join(dealt, ["label", "doc_id", "h"]).select("block", "n", "label", "size", "blob")
     links = placed.where(F.col("n") <= block).groupBy("block").applyInArrow(_link_block(_link), EDGE)
     if dealt.where(F.col("n") > block).limit(1).count():
         links = links.union(link_large_blocks(materialize(placed.where(F.col("n") > block)), block, _link))
