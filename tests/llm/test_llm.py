@@ -347,6 +347,52 @@ def test_viterbi_is_best_and_remembered_scores_are_right(crf):
     assert score(best) == pytest.approx(score(secrets.viterbi(crf, some.tolist())))
 
 
+def test_every_token_of_a_text_may_be_tagged(monkeypatch):
+    """Weights at random against Viterbi over all tokens; no text here has a trigger."""
+    rng = np.random.default_rng(8)
+    words = ["zxqv", "we", "said", "Tree", "QWERT", "été", "house", ",", "b"]
+    texts = ["", " \n", "b", *[" ".join(words[i] for i in rng.integers(0, len(words), n)) for n in (1, 2, 3, 7, 60, 200, 900)]]
+    assert all(secrets.chains(t)[0] == [] for t in texts)
+    monkeypatch.setattr(secrets.Emitter, "STEP", 50)
+    for bias in (-2.0, 0.0, 3.0):
+        moves, first = rng.normal(size=(3, 3)), rng.normal(size=3)
+        moves[0, 2] = first[2] = secrets.FORBID
+        weights = rng.normal(size=(secrets.FEATURES, 3))
+        weights[secrets.number("bias"), 0] += 4 - bias * 2
+        model, n = secrets.Model(weights, moves, first), 0
+        want = []
+        for t in texts:
+            tokens, spans, start = list(secrets.TOKEN.finditer(t)), [], None
+            if tokens:
+                chain = secrets.Chain([], [], [m[0] for m in tokens])
+                for i, tag in enumerate([*secrets.viterbi(model, secrets._scores(model, secrets.emissions(chain, 0.0, False)).tolist()), 0]):
+                    if start is not None and tag != 2:
+                        spans.append((tokens[start].start(), tokens[i - 1].end(), "crf"))
+                        start = None
+                    start = i if tag == 1 else start
+            want.append(spans)
+            n += len(spans)
+        assert n > 0
+        assert secrets.spans_of(texts, [[]] * len(texts), secrets.Emitter(model)) == want
+        assert [secrets.model_spans(t, [], secrets.Emitter(model)) for t in texts] == want
+
+
+def test_a_long_text_is_read_in_pieces(crf):
+    emitter, key = secrets.Emitter(crf), "QWERT-ZXCVB-ASDFG-POIUY"
+    text = "we said that it was " * 60_000 + key + " was here"
+    assert secrets.model_spans(text, [], emitter) == [(1_200_000, 1_200_000 + len(key), "crf")]
+
+
+def test_secrets_in_text_without_a_trigger_are_found(crf):
+    rng, emitter, found = np.random.default_rng(6), secrets.Emitter(crf), 0
+    for _ in range(50):
+        x = "-".join("".join(secrets.UP[i] for i in rng.integers(0, 26, 6)) for _ in range(3))
+        text = f"we met by the tree and {x} was there because it was raining"
+        assert secrets.chains(text)[0] == []
+        found += secrets.model_spans(text, [], emitter) == [(23, 23 + len(x), "crf")]
+    assert found >= 45
+
+
 def test_chains_cover_long_words_and_any_letters():
     long_ = "x" * 50_000 + " y"
     assert secrets.chains(long_)[0][0].words[0] == "x" * 50_000 and secrets.shape("ab12-C" * 1000).startswith("a0-A")
