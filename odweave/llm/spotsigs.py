@@ -10,11 +10,15 @@ not (0.0).
 
 1. One pass gives each document's set size and set hash; documents of one hash are a class. Each task adds a sketch of
    how often signatures occur, 2**SKETCH_BITS counters, which added up put all signatures in one order, rarest first.
-2. Two sets at the threshold share one of the first |x| - ceil(t |x|) + 1 of each in that order (any order would do;
-   this one keeps common signatures out). A pass gives these with their class and length partition. Sets of partitions
-   two or more apart can't be alike, so a signature's list is cut by them: a set is in that of its own partition and in
-   the next. Lists with one least class and partition are a block, and each class goes once to each of its blocks.
-3. In a block, sets of partitions two or more apart never meet, nor those that hang together already, and within
+2. Two sets at the threshold share a signature that is among the first |x| - ceil(t |x|) + 1 of the larger and the
+   first |x| - ceil(2 t / (1 + t) |x|) + 1 of the smaller in that order (any order would do; this one keeps common
+   signatures out). A pass gives these with their class and length partition. Sets of partitions two or more apart can't
+   be alike, so a signature's list is cut by them: a set is in that of its own partition and, as the smaller one of a
+   pair, in the next. Lists with one least class and partition are a block, and each class goes once to each of its blocks.
+3. Each class has a bitmap, for every place whether an odd number of its signatures falls there. Bits that differ are at
+   most the signatures that do, so a class whose bitmap differs too much from those of all others in a block leaves it
+   before any set is sent.
+4. In a block, sets of partitions two or more apart never meet, nor those that hang together already, and within
    reach a comparison ends once the bound on what may still be common is too low.
 
 `fingerprint_in_order` lets each document meet the next one: text is shuffled once, compressed, into ranges of ids that
@@ -52,6 +56,8 @@ CHAIN, DISTANCE = 2, 1
 SKETCH_BITS, MAX_RANGES = 16, 20_000
 #: Bits of a filter that spares most sets the way to the join by which they are chosen.
 FILTER_BITS = 23
+#: Bits of a set's bitmap: the least power of two that is its size or more, between these.
+LEAST_BITS, MOST_BITS = 64, 1 << 13
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _HASHER = Hasher(23)
@@ -236,19 +242,76 @@ def _link(labels: list[int], sizes: list[int], blobs: list[bytes], probes: int =
     return link_by_length(labels, sizes, [np.frombuffer(b, "<u4").astype(U64).tobytes() for b in blobs], probes)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """For each place, whether an odd number of signatures falls there."""
+    places = min(MOST_BITS, max(LEAST_BITS, 1 << (len(s) - 1).bit_length())) if len(s) else LEAST_BITS
+    odd = np.bincount((s & U64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def fold(bits: int, length: int, to: int) -> int:
+    """A bitmap of `length` places as one of `to`; both are powers of two."""
+    while length > to:
+        length //= 2
+        bits = (bits >> length) ^ (bits & (1 << length) - 1)
+    return bits
+
+
+def may_link(sizes: list[int], bitmaps: list[bytes]) -> list[bool]:
+    """Which sets may reach the threshold with another one, as far as sizes and bitmaps tell."""
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    bits = [int.from_bytes(b, "little") for b in bitmaps]
+    may = [False] * len(sizes)
+    for k, x in enumerate(order):
+        n, length = sizes[x], len(bitmaps[x]) * 8
+        for y in order[k + 1 :]:
+            both = n + sizes[y]
+            need = -(-TOP * both // (TOP + BOTTOM))
+            if need > n:
+                break
+            if not (may[x] and may[y]) and (bits[x] ^ fold(bits[y], len(bitmaps[y]) * 8, length)).bit_count() <= both - 2 * need:
+                may[x] = may[y] = True
+    return may
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of blocks, those that may link with another one of their block, without size and bitmap."""
+    held: pa.Table | None = None
+
+    def chosen(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, sizes, bitmaps = rows["block"].to_numpy(), rows["size"].to_pylist(), rows["bits"].to_pylist()
+        edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        keep: list[bool] = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            keep += may_link(sizes[a:b], bitmaps[a:b])
+        yield from rows.filter(pa.array(keep, pa.bool_())).drop_columns(["size", "bits"]).to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held else pa.Table.from_batches([batch])
+        block = held["block"].to_numpy()
+        if len(whole := np.flatnonzero(block != block[-1])):  # the last block may go on
+            yield from chosen(held.slice(0, int(whole[-1]) + 1))
+            held = held.slice(int(whole[-1]) + 1)
+    if held:
+        yield from chosen(held)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, n, s1) of each document, and one row with the task's sketch."""
+    """(doc_id, h, n, s1, bits) of each document, and one row with the task's sketch."""
     counts = np.zeros(1 << SKETCH_BITS, U64)
-    names = ["doc_id", "h", "n", "s1", "sketch"]
+    names = ["doc_id", "h", "n", "s1", "bits", "sketch"]
     for batch in batches:
-        n, s1 = [], []
+        n, s1, bits = [], [], []
         for _, s in signature_sets(batch["text"]):
             n.append(len(s))
             s1.append(set_hashes(s)[0])
+            bits.append(bitmap(s))
             np.add.at(counts, (s >> U64(32 - SKETCH_BITS)).astype(np.int64), U64(1))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.nulls(len(n), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
     one = [pa.nulls(1, pa.int64())] * 4
-    yield pa.RecordBatch.from_arrays([*one, pa.array([_pack(counts)], pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([*one, pa.nulls(1, pa.binary()), pa.array([_pack(counts)], pa.binary())], names=names)
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -267,9 +330,10 @@ def _rarest(counts: np.ndarray):  # noqa: ANN202
     edges = length_edges(TOP / BOTTOM)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(label, token, part): of each set the first ones, of which a partner shares one, and its length partition."""
+        """(label, token, part, head): of each set the first ones, of which a partner shares one, and its length
+        partition; head is 1 for those of which a partner that isn't smaller shares one."""
         for batch in batches:
-            labels, tokens, parts = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+            labels, tokens, parts, heads = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int8)]
             for _, s in signature_sets(batch["text"]):
                 if len(s):
                     room = len(s) - -(-TOP * len(s) // BOTTOM) + 1
@@ -277,7 +341,8 @@ def _rarest(counts: np.ndarray):  # noqa: ANN202
                     labels.append(np.full(room, set_hashes(s)[0], np.int64))
                     tokens.append(first.astype(np.uint32).view(np.int32))
                     parts.append(np.full(room, length_partition(len(s), TOP / BOTTOM, edges), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (labels, tokens, parts)], names=["label", "token", "part"])
+                    heads.append((np.arange(room) <= len(s) - -(-2 * TOP * len(s) // (TOP + BOTTOM))).astype(np.int8))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (labels, tokens, parts, heads)], names=["label", "token", "part", "head"])
 
     return rarest
 
@@ -326,23 +391,29 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 def described_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """A written table (doc_id, h, n, component) for every row; doc_id and component may be LAST, for null."""
     keyed = _keyed(docs, id, text)
-    all_ = materialize(keyed.mapInArrow(_describe, "doc_id long, h long, n long, s1 long, sketch binary"))
-    rows = all_.where("sketch is null").drop("sketch")
+    all_ = materialize(keyed.mapInArrow(_describe, "doc_id long, h long, n long, s1 long, bits binary, sketch binary"))
+    described = all_.where("sketch is null")
+    rows = described.drop("sketch", "bits")
     sketches = all_.where("sketch is not null").select("sketch").mapInArrow(_add_sketches, "sketch binary")
     sketch = sketches.repartition(1).mapInArrow(_add_sketches, "sketch binary").first()  # one row of bounded size
     counts = np.frombuffer(zlib.decompress(sketch[0]), U64) if sketch else np.zeros(1 << SKETCH_BITS, U64)
-    classes = materialize(rows.where("n > 0").groupBy("s1").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("s1", "first.*"))
-    posted = keyed.select("text").mapInArrow(_rarest(counts), "label long, token int, part int")
-    several = posted.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
-    # the lists of each token are cut by length: a set is in the list of its own partition and, as a guest, of the next
-    shared = posted.join(several, "token").select("label", "token", F.explode(F.array(F.struct("part", F.lit(1).alias("own")), F.struct((F.col("part") + 1).alias("part"), F.lit(0).alias("own")))).alias("at"))
-    cut = materialize(shared.select("label", "token", "at.part", "at.own").distinct())
-    least = cut.groupBy("token", "part").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("own").alias("own")).where("least < most and own = 1")
+    classes = materialize(described.where("n > 0").groupBy("s1").agg(F.min(F.struct("doc_id", "h", F.col("n").alias("size"), "bits")).alias("first")).select("s1", "first.*"))
+    posted = keyed.select("text").mapInArrow(_rarest(counts), "label long, token int, part int, head tinyint")
+    several = posted.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("head").alias("head")).where("least < most and head = 1").select("token")
+    # the lists of each token are cut by length: a set is in the list of its own partition and, as a guest, of the next,
+    # where it is smaller than all others
+    own, guest = F.struct("part", F.lit(1).alias("own"), "head"), F.struct((F.col("part") + 1).alias("part"), F.lit(0).alias("own"), "head")
+    shared = posted.join(several, "token").select("label", "token", F.explode(F.when(F.col("head") == 1, F.array(own, guest)).otherwise(F.array(own))).alias("at"))
+    cut = materialize(shared.select("label", "token", "at.*").distinct())
+    least = cut.groupBy("token", "part").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("own").alias("own"), F.max("head").alias("head")).where("least < most and own = 1 and head = 1")
     lists = cut.join(least.select("token", "part", "least"), ["token", "part"])
     named = lists.select("label", F.xxhash64("least", "part").alias("block")).distinct()
     counted = named.groupBy("block").agg(F.count("*").alias("n"))
     # a class's set comes from its first document; tables that meet the sets are written, so that their size is known
-    dealt = materialize(named.join(counted, "block").join(classes.withColumnRenamed("s1", "label"), "label"))
+    dealt = materialize(named.join(counted, "block").join(classes.withColumnRenamed("s1", "label"), "label").select("label", "block", "n", "doc_id", "h", "size", "bits"))
+    small = dealt.where(F.col("n") <= block).repartition("block").sortWithinPartitions("block")
+    few = small.mapInArrow(_promising, "label long, block long, n long, doc_id long, h long")
+    dealt = materialize(few.unionByName(dealt.where(F.col("n") > block).drop("size", "bits")))
     sets = keyed.withColumn("f", _place()).mapInArrow(_sets(_marked(dealt)), "doc_id long, h long, label long, size long, blob binary")
     placed = sets.join(dealt, ["label", "doc_id", "h"]).select("block", "n", "label", "size", "blob")
     links = placed.where(F.col("n") <= block).groupBy("block").applyInArrow(_link_block(_link), EDGE)

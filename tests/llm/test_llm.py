@@ -147,6 +147,45 @@ def test_spot_join(spark, spotted, empty, block):
         assert spotsigs.near_duplicates(empty).count() == 0
 
 
+def test_sets_that_only_share_signatures_by_chance_are_not_sent(spark, monkeypatch):
+    """Texts out of few words share rare signatures, but only near copies go on; all links are found."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(rnd.choice(["the", "of", "and", *words]) for _ in range(rnd.randint(5, 400))) for _ in range(150)]
+    for t in texts[:25]:
+        w = t.split()
+        texts += [" ".join(w[: len(w) - len(w) * k // 20]) for k in (1, 3, 4, 5)]
+    near, sets = [(i, t) for i, t in enumerate(texts)], [brute_spots(t) for t in texts]
+    sent, real = [], spotsigs._marked
+    monkeypatch.setattr(spotsigs, "_marked", lambda dealt: sent.append(dealt.select("label").distinct().count()) or real(dealt))
+    got = spotsigs.near_duplicates(spark.createDataFrame(near, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect())) == [(i, len(s), r) for i, (s, r) in enumerate(zip(sets, brute_components(range(len(sets)), sets), strict=True))]
+    alike = sum(any(s != r and 100 * len(s & r) >= 80 * len(s | r) for r in sets) for s in {frozenset(s) for s in sets})
+    assert alike <= sent[0] <= 1.2 * alike < len(sets) / 2
+
+
+def test_bitmaps_leave_every_link():
+    rnd = random.Random(6)
+    for top in (12, 70, 400, 20_000):
+        for _ in range(15):
+            sets = [rnd.sample(range(1 << 31), rnd.randint(1, top)) for _ in range(4)]
+            sets += [x[: max(1, len(x) * rnd.randint(15, 20) // 20)] + rnd.sample(range(1 << 31), len(x) // rnd.choice([9, 12, 50])) for x in sets]
+            sets = [np.unique(np.array(x, np.uint64)) for x in sets]
+            may = spotsigs.may_link([len(x) for x in sets], [spotsigs.bitmap(x) for x in sets])
+            for i, x in enumerate(sets):
+                alike = any(i != j and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)) for j, y in enumerate(sets))
+                assert may[i] or not alike
+    assert spotsigs.fold(0b1011_0110, 8, 4) == 0b1101 and len(spotsigs.bitmap(np.arange(65, dtype=np.uint64))) == 16
+
+
+def test_blocks_go_on_across_batches():
+    sets = {0: [range(50), range(1, 50), range(900, 960)], 1: [range(20), range(100, 120)], 2: [range(10)] * 3, 5: [range(70), range(70)]}
+    found = [(b, len(x), spotsigs.bitmap(np.array(x, np.uint64)), 10 * b + k) for b, of in sets.items() for k, x in enumerate(of)]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["block", "size", "bits", "label"])
+    for n in (1, 2, 3, 100):
+        assert [x for b in spotsigs._promising(iter(table.to_batches(n))) for x in b["label"].to_pylist()] == [0, 1, 20, 21, 22, 50, 51]
+
+
 def test_length_partitions_find_all_links():
     rnd = random.Random(3)
     for _ in range(30):
