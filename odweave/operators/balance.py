@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from odweave.session import reject_streaming, shared_dir
+from odweave.session import reject_streaming, written
 
 #: Added to a sum before it divides, so that a zero sum gives a finite factor.
 EPS = 1.0e-7
@@ -27,12 +27,6 @@ class Balanced(NamedTuple):
     iterations: int
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame, *, totals_to_use: str = "raise", max_iterations: int = 1000, rel_error: float = 1e-4, value: str = "value") -> Balanced:
     """Iterative proportional fitting, row then column, over scaling vectors.
 
@@ -53,8 +47,8 @@ def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame,
         both = {"rows": sa, "columns": sb, "average": (sa + sb) / 2}[totals_to_use]
         a, b = a.withColumn("goal", F.col("goal") * F.lit(both / sa)), b.withColumn("goal", F.col("goal") * F.lit(both / sb))
     cells = matrix.select("o", "d", F.col(value).cast("double").alias("m")).where("m is not null and not isnan(m)")
-    cells = _written(cells)
-    a, b = _written(a), _written(b)
+    cells = written(cells)
+    a, b = written(a), written(b)
     for axis, totals in (("o", a), ("d", b)):
         if cells.select(F.col(axis).alias("zone")).distinct().join(totals, "zone", "left_anti").limit(1).count():
             raise KeyError("a zone of the matrix has no total")
@@ -72,7 +66,7 @@ def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame,
         return rows.union(cols).agg(F.coalesce(F.sum(F.abs(F.col("goal") - F.col("x") * F.col("sum"))), F.lit(0.0))).first()[0]
 
     r, c = a.withColumn("x", F.lit(1.0)), b.withColumn("x", F.lit(1.0))
-    r, c = _written(met(c, "d", "o", r)), _written(met(r, "o", "d", c))
+    r, c = written(met(c, "d", "o", r)), written(met(r, "o", "d", c))
     initial, err, i = total_error(r, c), 1.0, 0
     if initial <= 1e-12 * (sa + sb):  # only rounding is left
         return Balanced(matrix.select("o", "d", F.col(value).cast("double").alias(value)), 0.0, 0)
@@ -81,8 +75,8 @@ def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame,
             warnings.warn(f"no convergence after {i} iterations: relative error {err:g}", RuntimeWarning, stacklevel=2)
             break
         r = moved(r)
-        c = moved(_written(met(r, "o", "d", c)))
-        r = _written(met(c, "d", "o", r))
+        c = moved(written(met(r, "o", "d", c)))
+        r = written(met(c, "d", "o", r))
         err, i = total_error(r, c) / initial, i + 1
     out = matrix.select("o", "d", F.col(value).cast("double").alias("__m"))
     for axis, x in (("o", r), ("d", c)):
@@ -114,7 +108,7 @@ def _prefixes(totals: DataFrame, block: str, kind: str, ranges: int) -> DataFram
     """(__block, __s): the sum of __t over all blocks before each, nulls first."""
     before = lambda w: F.coalesce(F.sum("__t").over(w.rowsBetween(Window.unboundedPreceding, -1)).cast(kind), F.lit(0).cast(kind))
     # written with their range's number, which so stays the same in both uses
-    dealt = _written(totals.repartitionByRange(ranges, block).select(F.col(block).alias("__block"), "__t", F.spark_partition_id().alias("__p")))
+    dealt = written(totals.repartitionByRange(ranges, block).select(F.col(block).alias("__block"), "__t", F.spark_partition_id().alias("__p")))
     by_range = dealt.groupBy("__p").agg(F.sum("__t").cast(kind).alias("__t")).select("__p", before(Window.orderBy("__p")).alias("__r"))
     inside = dealt.select("__block", "__p", before(Window.partitionBy("__p").orderBy("__block")).alias("__i"))
     return inside.join(by_range, "__p").select("__block", (F.col("__r") + F.col("__i")).cast(kind).alias("__s"))

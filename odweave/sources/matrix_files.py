@@ -2,7 +2,7 @@
 
 Reading is a Python data source ("odmatrix") whose partitions are ranges of matrix rows addressed by byte
 offset, so a large matrix is read by many tasks and none holds more than its rows. Writing streams the ordered
-rows to one file, a row at a time. Paths must be on a file system that driver and executors mount alike.
+rows to one file, a row at a time; the matrix is made once and kept in the shared folder for its passes. Paths must be on a file system that driver and executors mount alike.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from odweave.operators.zones import densify, zone_list, zone_ordinals
+from odweave.session import written
 
 MAGIC, VERSION = 0xC4D4F1B2, 1
 #: Cell types of mdf files by their number.
@@ -203,9 +204,15 @@ def _all_rows(rows: Iterator[tuple[int, bytes]], n: int, n_cols: int) -> Iterato
         yield j, empty
 
 
+def _once(matrix: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """The matrix and its zones' ordinals, both written."""
+    matrix = written(matrix.select("o", "d", value))
+    return matrix, written(zone_ordinals(zone_list(matrix)))
+
+
 def to_mdf(matrix: DataFrame, path: str, *, value: str = "value") -> None:
     """Float32 mdf over the union of both label sets; missing cells are 0."""
-    zones = zone_ordinals(zone_list(matrix))
+    matrix, zones = _once(matrix, value)
     labels = [r["zone"] for r in zones.orderBy("ordinal").collect()]
     n = len(labels)
     with open(path, "wb") as f:
@@ -217,7 +224,7 @@ def to_mdf(matrix: DataFrame, path: str, *, value: str = "value") -> None:
 
 def to_emx(matrix: DataFrame, path: str, n_zones: int, *, value: str = "value") -> None:
     """Headerless float32 n x n, padded with 0 or truncated."""
-    zones = zone_ordinals(zone_list(matrix))
+    matrix, zones = _once(matrix, value)
     with open(path, "wb") as f:
         for _, data in _all_rows(_ordered_rows(matrix, zones, n_zones, value), n_zones, n_zones):
             f.write(data)
@@ -226,10 +233,11 @@ def to_emx(matrix: DataFrame, path: str, n_zones: int, *, value: str = "value")
 def to_fortran(matrix: DataFrame, path: str, *, n_columns: int | None = None, min_index: int = 1, force_square: bool = True, value: str = "value") -> None:
     """Records of an int32 row number, counted from min_index, and float32 cells, padded to n_columns."""
     if force_square:
-        zones = zone_ordinals(zone_list(matrix))
+        matrix, zones = _once(matrix, value)
         n_rows = zones.count()
         width, source = n_rows, _ordered_rows(matrix, zones, max(n_columns or 0, n_rows), value)
     else:
+        matrix = written(matrix.select("o", "d", value))
         rows = zone_ordinals(matrix.select(F.col("o").alias("zone")))
         cols = zone_ordinals(matrix.select(F.col("d").alias("zone")))
         n_rows, width = rows.count(), cols.count()

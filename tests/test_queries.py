@@ -64,3 +64,24 @@ def test_lines_past_four_digits(spark, many_lines, name):
     at = [rel.columns.index(c) for c in cols]
     want = sorted(tuple(_same(r[i]) for i in at) for r in rel.fetchall())
     assert len(want) > 10_000 and sorted(tuple(_same(r[c]) for c in cols) for r in df.collect()) == want
+
+
+def _counted(df, seen):
+    """df, adding its rows to `seen` each time they are made."""
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(count, df.schema)
+
+
+@pytest.mark.parametrize("name", ["matrix_file_round_trip"])
+def test_flows_are_made_once(spark, monkeypatch, name):
+    from odweave.plans import queries
+
+    seen, flows = spark.sparkContext.accumulator(0), queries.nation_flows
+    monkeypatch.setattr(queries, "nation_flows", lambda s, d: _counted(flows(s, d), seen))
+    assert all_queries()[name](spark, SF).collect()
+    assert seen.value == flows(spark, SF).count()

@@ -238,3 +238,19 @@ def test_logging(tmp_path):
     logger.log_json(log.JsonFormatter().format(record))
     logger.load_failure("tool")
     assert logger.flush_load_failures() == ["tool"]
+
+
+def test_writers_make_the_matrix_once(spark, tmp_path, matrix):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = matrix.mapInArrow(count, matrix.schema)
+    m.to_mdf(counted, str(tmp_path / "a.mdf"))
+    m.to_emx(counted, str(tmp_path / "a.emx"), 4)
+    m.to_fortran(counted, str(tmp_path / "a.bin"))
+    m.to_fortran(counted, str(tmp_path / "b.bin"), force_square=False)
+    assert seen.value == 4 * 3
