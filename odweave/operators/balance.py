@@ -30,25 +30,25 @@ class Balanced(NamedTuple):
 def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame, *, totals_to_use: str = "raise", max_iterations: int = 1000, rel_error: float = 1e-4, value: str = "value") -> Balanced:
     """Iterative proportional fitting, row then column, over scaling vectors.
 
-    The matrix stays unchanged; only two vectors of zone length move, as tables: a pass is two joins and aggregations,
-    each written to the shared folder, and one number comes back, the error. `totals_to_use` says how unequal totals
-    are reconciled: raise, rows, columns or average. At most `max_iterations` passes are made; without convergence
-    a RuntimeWarning is given. An input that is balanced already comes back unchanged.
+    The matrix stays unchanged; it and the totals are made once and kept in the shared folder. Only two vectors of zone
+    length move, as tables: a pass is two joins and aggregations, each written there, and one number comes back, the
+    error. `totals_to_use` says how unequal totals are reconciled: raise, rows, columns or average. At most
+    `max_iterations` passes are made; without convergence a RuntimeWarning is given. An input that is balanced already
+    comes back unchanged.
     """
     reject_streaming(matrix, "balance_2d")
     if totals_to_use not in ("raise", "rows", "columns", "average"):
         raise ValueError(totals_to_use)
     goal = lambda df: df.select("zone", F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("goal"))
-    a, b = goal(row_totals), goal(col_totals)
+    a, b = written(goal(row_totals)), written(goal(col_totals))
     sa, sb = (df.agg(F.coalesce(F.sum("goal"), F.lit(0.0))).first()[0] for df in (a, b))
     if abs(sa - sb) > 1e-8 + 1e-5 * abs(sb):
         if totals_to_use == "raise":
             raise ValueError(f"row totals ({sa}) and column totals ({sb}) differ")
         both = {"rows": sa, "columns": sb, "average": (sa + sb) / 2}[totals_to_use]
         a, b = a.withColumn("goal", F.col("goal") * F.lit(both / sa)), b.withColumn("goal", F.col("goal") * F.lit(both / sb))
-    cells = matrix.select("o", "d", F.col(value).cast("double").alias("m")).where("m is not null and not isnan(m)")
-    cells = written(cells)
-    a, b = written(a), written(b)
+    matrix = written(matrix.select("o", "d", F.col(value).cast("double").alias(value)))
+    cells = matrix.select("o", "d", F.col(value).alias("m")).where("m is not null and not isnan(m)")
     for axis, totals in (("o", a), ("d", b)):
         if cells.select(F.col(axis).alias("zone")).distinct().join(totals, "zone", "left_anti").limit(1).count():
             raise KeyError("a zone of the matrix has no total")
@@ -69,7 +69,7 @@ def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame,
     r, c = written(met(c, "d", "o", r)), written(met(r, "o", "d", c))
     initial, err, i = total_error(r, c), 1.0, 0
     if initial <= 1e-12 * (sa + sb):  # only rounding is left
-        return Balanced(matrix.select("o", "d", F.col(value).cast("double").alias(value)), 0.0, 0)
+        return Balanced(matrix, 0.0, 0)
     while err > rel_error:
         if i >= max_iterations:
             warnings.warn(f"no convergence after {i} iterations: relative error {err:g}", RuntimeWarning, stacklevel=2)
@@ -78,7 +78,7 @@ def balance_2d(matrix: DataFrame, row_totals: DataFrame, col_totals: DataFrame,
         c = moved(written(met(r, "o", "d", c)))
         r = written(met(c, "d", "o", r))
         err, i = total_error(r, c) / initial, i + 1
-    out = matrix.select("o", "d", F.col(value).cast("double").alias("__m"))
+    out = matrix.withColumnRenamed(value, "__m")
     for axis, x in (("o", r), ("d", c)):
         out = out.join(x.select(F.col("zone").alias(axis), F.col("x").alias(f"__{axis}")), axis)
     return Balanced(out.select("o", "d", (F.col("__m") * F.col("__o") * F.col("__d")).alias(value)), err if i else 1.0, i)

@@ -195,7 +195,7 @@ def balance_2d_k_iters(s: SparkSession, d: str) -> DataFrame:
 
 def balance_2d_converged(s: SparkSession, d: str) -> DataFrame:
     """Row sums after convergence, to whole units; they meet the totals."""
-    flows = nation_flows(s, d)
+    flows = flows_once(s, d)
     rows = od.totals(flows, "o").withColumn("total", (F.col("total") * 2).cast("double"))
     cols = od.totals(flows, "d").withColumn("total", (F.col("total") * 2).cast("double"))
     out = balance.balance_2d(flows, rows, cols, rel_error=1e-7)

@@ -134,6 +134,25 @@ def test_balancing_of_a_larger_matrix(spark):
     assert np.allclose(got.sum(1), rows, rtol=1e-4, atol=0.01) and np.allclose(got.sum(0), cols, rtol=1e-4, atol=0.01) and res.error <= 1e-6
 
 
+def test_balancing_makes_its_inputs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(count, df.schema)
+
+    m = tall(spark, [[1.0, None, 5.0], [2.0, 7.0, 1.0]], [1, 2], [1, 2, 3], "double")
+    rows, cols = spark.createDataFrame([(1, 8.0), (2, 8.0)], "zone int, total double"), spark.createDataFrame([(1, 4.0), (2, 6.0), (3, 6.0)], "zone int, total double")
+    with pytest.warns(RuntimeWarning):
+        got = cells(balance.balance_2d(counted(m), counted(rows), counted(cols), max_iterations=1, rel_error=0).matrix)
+    assert len(got) == 6 and got[1, 2] is None and got[2, 2] == pytest.approx(6, rel=1e-3)
+    assert seen.value == 6 + 2 + 3
+
+
 def test_label_types(spark):
     df = spark.createDataFrame([(0.0,), (1.5,), (9.0,)], "value double")
     kind = lambda t: [tuple(r)[1:-1] for r in measures.tlfd(df, bin_end=4, bin_step=2, include_top=True, label_type=t).orderBy("position").collect()]
