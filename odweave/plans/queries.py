@@ -184,7 +184,7 @@ def balance_2d_k_iters(s: SparkSession, d: str) -> DataFrame:
     """Three passes of proportional fitting, a fixed number, for the comparison with SQL."""
     import warnings
 
-    flows = od.map_to_matrix(nation_flows(s, d), nations(s, d), check=False)
+    flows = written(od.map_to_matrix(nation_flows(s, d), nations(s, d), check=False))
     rows = od.totals(flows, "o").withColumn("total", (F.col("total") + 100 * F.col("zone")).cast("double"))
     cols = od.totals(flows, "d").withColumn("total", (F.col("total") + 100 * (24 - F.col("zone"))).cast("double"))
     with warnings.catch_warnings():
