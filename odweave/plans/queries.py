@@ -126,7 +126,7 @@ def od_map_to_square(s: SparkSession, d: str) -> DataFrame:
 
 def od_map_into_existing(s: SparkSession, d: str) -> DataFrame:
     """Twice the flows between nations, in a matrix with regions too, less the flows themselves."""
-    flows = nation_flows(s, d)
+    flows = flows_once(s, d)
     base = flows.select("o", "d", (F.col("value") * 2).alias("value"))
     return od.map_to_matrix(flows, zones_and_regions(s, d), out=base, operand="-", check=False).withColumn("value", F.col("value").cast("bigint"))
 
@@ -134,7 +134,7 @@ def od_map_into_existing(s: SparkSession, d: str) -> DataFrame:
 def od_coerce_square(s: SparkSession, d: str) -> DataFrame:
     """Flows from nations to regions, as one square."""
     to = regions(s, d).select(F.col("zone").alias("d"), (F.col("group") + 100).alias("region"))
-    oblong = nation_flows(s, d).join(to, "d").groupBy("o", F.col("region").alias("d")).agg(F.sum("value").alias("value"))
+    oblong = flows_once(s, d).join(to, "d").groupBy("o", F.col("region").alias("d")).agg(F.sum("value").alias("value"))
     return zones.coerce_square(oblong).withColumn("value", F.col("value").cast("double"))
 
 
@@ -153,7 +153,7 @@ def od_unstack(s: SparkSession, d: str) -> DataFrame:
 
 
 def od_totals(s: SparkSession, d: str) -> DataFrame:
-    flows = nation_flows(s, d)
+    flows = flows_once(s, d)
     side = lambda a: od.totals(flows, a).withColumn("axis", F.lit(a))
     return side("o").unionByName(side("d"))
 
@@ -169,13 +169,13 @@ def split_zone(s: SparkSession, d: str) -> DataFrame:
 
 
 def balance_rows_1d(s: SparkSession, d: str) -> DataFrame:
-    flows = nation_flows(s, d)
+    flows = flows_once(s, d)
     goal = od.totals(flows, "o").withColumn("total", F.col("total") * 2 + F.col("zone"))
     return balance.balance_1d(flows, goal, "o").withColumn("value", F.round("value", 4))
 
 
 def balance_cols_1d(s: SparkSession, d: str) -> DataFrame:
-    flows = nation_flows(s, d)
+    flows = flows_once(s, d)
     goal = od.totals(flows, "d").withColumn("total", F.col("total") * 3 + F.col("zone"))
     return balance.balance_1d(flows, goal, "d").withColumn("value", F.round("value", 4))
 
@@ -208,7 +208,7 @@ def bucket_round_prices(s: SparkSession, d: str) -> DataFrame:
 
 
 def bucket_round_hundreds(s: SparkSession, d: str) -> DataFrame:
-    return balance.bucket_round(nation_flows(s, d).withColumn("value", F.col("value").cast("double")), decimals=-2).select("o", "d", "value")
+    return balance.bucket_round(flows_once(s, d).withColumn("value", F.col("value").cast("double")), decimals=-2).select("o", "d", "value")
 
 
 def _trips(s: SparkSession, d: str) -> DataFrame:
@@ -247,7 +247,7 @@ def lookup_fill(s: SparkSession, d: str) -> DataFrame:
 
 
 def zone_indexers(s: SparkSession, d: str) -> DataFrame:
-    return od.indexers_for_map_matrix(nation_flows(s, d).select("o").distinct(), zones.zone_ordinals(nations(s, d).where("zone >= 0")), column="o").select("o", "ordinal")
+    return od.indexers_for_map_matrix(flows_once(s, d).select("o").distinct(), zones.zone_ordinals(nations(s, d).where("zone >= 0")), column="o").select("o", "ordinal")
 
 
 def sum_frames(s: SparkSession, d: str) -> DataFrame:
@@ -320,18 +320,18 @@ def result_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def station_on_off(s: SparkSession, d: str) -> DataFrame:
-    flows = nation_flows(s, d).select(F.col("o").alias("i"), F.col("d").alias("j"), F.col("value").cast("double").alias("v"))
+    flows = flows_once(s, d).select(F.col("o").alias("i"), F.col("d").alias("j"), F.col("value").cast("double").alias("v"))
     return network.station_results(flows, [2, 5, 7, 11, 40])
 
 
 def semi_join_countpost(s: SparkSession, d: str) -> DataFrame:
-    flows = nation_flows(s, d).select(F.col("o").alias("inode"), F.col("d").alias("jnode"), "value")
+    flows = flows_once(s, d).select(F.col("o").alias("inode"), F.col("d").alias("jnode"), "value")
     links = flows.select("inode", "jnode", ((F.col("inode") * 5 + F.col("jnode")) % 4 - 1).alias("@post"))
     return network.at_countposts(flows, links, "post")
 
 
 def _model_target(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    flows = nation_flows(s, d)
+    flows = flows_once(s, d)
     return od.totals(flows, "o"), od.totals(flows, "d")
 
 

@@ -77,7 +77,7 @@ def _counted(df, seen):
     return df.mapInArrow(count, df.schema)
 
 
-@pytest.mark.parametrize("name", ["matrix_file_round_trip", "balance_2d_converged", "balance_2d_k_iters"])
+@pytest.mark.parametrize("name", ["matrix_file_round_trip", "balance_2d_converged", "balance_2d_k_iters", "od_coerce_square", "zone_indexers", "bucket_round_hundreds"])
 def test_flows_are_made_once(spark, monkeypatch, name):
     from odweave.plans import queries
 
